@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +28,8 @@ ROUNDS, PIECE, RUN = 3, 8, 40
 #: Probability of a character outside the vocabulary, and the least of any piece.
 UNKNOWN, FLOOR = 1e-8, 1e-7
 CACHE = 400_000
+#: Least posterior with which a filter accepts a document.
+LEAST_SCORE = 0.4
 LETTERS = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x100000001B3)
 
@@ -198,8 +201,8 @@ def train(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     return fit({k: v for k, v in counts.items() if v}, pieces) | {"name": uuid.uuid4().hex}
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key, lang_pred, score`` (posterior) per row, and the columns of ``keep``.
+def predict(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key, lang_pred, score`` (posterior) per row.
 
     Null text, a text without letters, or a model without languages: ``und`` with score 0.
     """
@@ -229,6 +232,25 @@ def predict(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_id
     return out.withColumnRenamed("key", key)
 
 
+def accepted(docs: DataFrame, model: dict, least: float = LEAST_SCORE, text: str = "text") -> DataFrame:
+    """Rows whose language is told with a posterior of ``least`` or more; all columns stay as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    name = model["name"]
+
+    @F.pandas_udf("boolean")
+    def told(texts: pd.Series) -> pd.Series:
+        mine = scorer(sent.value, name)
+        out = []
+        rows = texts.tolist()
+        for at in range(0, len(rows), 512):
+            for row in mine.totals(rows[at : at + 512]):
+                top = row[:-1].max(initial=-np.inf)
+                out.append(bool(row[-1] > 0 and 1 / np.exp(row[:-1] - top).sum() >= least))
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(told(F.col(text)))
+
+
 def held_out(key: str = "doc_id"):
     """Documents that training never sees: crc32 of the decimal key, modulo 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

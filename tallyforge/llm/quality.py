@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from tallyforge.llm.common import arrow_map, written
 #: Base rules: least words, greatest percentage of repeated words.
 LEAST_WORDS, REPEATED = 50, 50
 #: Thresholds of the divergences (base 2, square root), and the least characters and common words to compare.
-CHARACTERS, WORDS = 0.17, 0.45
+CHARACTERS, WORDS = 0.15, 0.45
 LEAST_CHARACTERS, LEAST_COMMON = 200, 30
 #: Words a language needs in all its documents to serve as a reference.
 LEAST_REFERENCE = 2000
@@ -109,7 +110,7 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id", label: st
         def step(keys, langs, texts):
             made = [measure(t or "") for t in texts]
             out = {n: [b[i] for b, _ in made] for i, n in enumerate(names)}
-            failed = [b[0] < LEAST_WORDS or 100 * b[4] > REPEATED * b[0] for b, _ in made]
+            failed = [base_fails(b) for b, _ in made]
             return out | {"key": keys, "lang": langs, "base_failed": failed, "hist": [h.tobytes() for _, h in made]}
 
         return step
@@ -160,27 +161,45 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", labe
     """
     rows = written(features(docs, text, key, label), "quality")
     refs = references(rows)
-    k = len(CLASSES)
 
     def make():
-        def step(failed, hists):
-            h = np.frombuffer(b"".join(hists), np.uint32).reshape(len(hists), -1).astype(float)
-            if not len(refs):
-                return {"char_divergence": [0.0] * len(failed), "word_divergence": [0.0] * len(failed), "kept": [not f for f in failed]}
-            chars, words = distance(h[:, :k], refs[:, :k]), distance(h[:, k:], refs[:, k:])
-            chars[h[:, :k].sum(1) < LEAST_CHARACTERS] = 0
-            words[h[:, k:].sum(1) < LEAST_COMMON] = 0
-            best = np.maximum(chars / CHARACTERS, words / WORDS).argmin(1)
-            at = np.arange(len(best))
-            c, w = chars[at, best], words[at, best]
-            good = (c <= CHARACTERS) & (w <= WORDS) & ~np.array(failed, bool)
-            return {"char_divergence": c.tolist(), "word_divergence": w.tolist(), "kept": good.tolist()}
-
-        return step
+        return lambda failed, hists: verdicts(failed, hists, refs)
 
     return judged(rows, make).withColumnRenamed("key", key)
 
 
+def verdicts(failed: list[bool], hists: list[bytes], refs: np.ndarray) -> dict[str, list]:
+    """Divergences from the nearest reference, and whether each row is kept."""
+    if not len(refs) or not hists:
+        return {"char_divergence": [0.0] * len(failed), "word_divergence": [0.0] * len(failed), "kept": [not f for f in failed]}
+    h = np.frombuffer(b"".join(hists), np.uint32).reshape(len(hists), -1).astype(float)
+    k = len(CLASSES)
+    chars, words = distance(h[:, :k], refs[:, :k]), distance(h[:, k:], refs[:, k:])
+    chars[h[:, :k].sum(1) < LEAST_CHARACTERS] = 0
+    words[h[:, k:].sum(1) < LEAST_COMMON] = 0
+    best = np.maximum(chars / CHARACTERS, words / WORDS).argmin(1)
+    at = np.arange(len(best))
+    c, w = chars[at, best], words[at, best]
+    good = (c <= CHARACTERS) & (w <= WORDS) & ~np.array(failed, bool)
+    return {"char_divergence": c.tolist(), "word_divergence": w.tolist(), "kept": good.tolist()}
+
+
+def kept(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "lang") -> DataFrame:
+    """Rows that the rules keep, with all their columns; texts are measured once for the references and once for the verdict."""
+    refs = references(features(docs, text, key, label))
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        made = [measure(t or "") for t in texts.tolist()]
+        return pd.Series(verdicts([base_fails(b) for b, _ in made], [h.tobytes() for _, h in made], refs)["kept"], dtype=bool)
+
+    return docs.where(good(F.col(text)))
+
+
+def base_fails(base: list[int]) -> bool:
+    return base[0] < LEAST_WORDS or 100 * base[4] > REPEATED * base[0]
+
+
 def judged(rows: DataFrame, make) -> DataFrame:
     """Verdict columns beside the base counts, in one pass."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -16,6 +16,7 @@ from functools import partial
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyforge.llm.common import arrow_map, hex64, shuffle_partitions, written
 from tallyforge.llm.components import components
@@ -42,16 +43,19 @@ def fingerprint(words: list[bytes], size: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, fp`` (signed 64-bit). A-Z are lower-cased, words are runs outside space and \\x09-\\x0D; null or blank text: 0."""
+    """``key, fp`` (signed 64-bit) and ``h``, a hash of the text itself.
+
+    A-Z are lower-cased, words are runs outside space and \\x09-\\x0D; null or blank text: 0.
+    """
 
     def make():
-        def step(keys, texts):
+        def step(keys, hashes, texts):
             made = [fingerprint((t or "").encode().lower().split(), size, seed) for t in texts]
-            return {"key": keys, "fp": np.array(made, np.uint64).astype(np.int64).tolist() if made else []}
+            return {"key": keys, "h": hashes, "fp": np.array(made, np.uint64).astype(np.int64).tolist() if made else []}
 
         return step
 
-    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key bigint, fp bigint", make)
+    return arrow_map(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text")), "key bigint, h bigint, fp bigint", make)
 
 
 def cells(fps: DataFrame) -> DataFrame:
@@ -91,13 +95,30 @@ def near_duplicates(docs: DataFrame, distance: int = 2, size: int = 3, seed: int
     has a null id. Repeated rows come out repeated. Empty table: no rows.
     """
     rows = written(fingerprints(docs, size, seed, text, key), "fingerprints")
+    return rows.join(groups(rows, distance), "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def groups(rows: DataFrame, distance: int = 2) -> DataFrame:
+    """``fp, root, component_id`` of each distinct fingerprint of ``rows``; ``root`` numbers the group."""
     reps = written(rows.groupBy("fp").agg(F.min("key").alias("first")), "representatives")
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = shuffle_partitions(rows.sparkSession)
     linked = components(links(reps.select("fp").repartition(parts), distance))
     by = linked.join(reps, linked.node == reps.fp).select("fp", "root", "first")
     lowest = by.groupBy("root").agg(F.min("first").alias("low"))
-    joined = reps.join(by.join(lowest, "root").select("fp", "low"), "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return rows.join(joined, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    joined = reps.join(by.join(lowest, "root").select("fp", "root", "low"), "fp", "left")
+    return joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "first").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, distance: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each group, with all its columns: that with the smallest key (nulls last, then by text hash)."""
+    rows = written(fingerprints(docs, text=text, key=key), "fingerprints")
+    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "h")).alias("m")
+    stays = rows.join(groups(rows, distance), "fp").groupBy("root").agg(first).select(F.col("m.key").alias("__key"), F.col("m.h").alias("__h"))
+    columns = docs.columns
+    held = docs.withColumn("__text_hash", F.xxhash64(text))
+    held = held.join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text_hash") == F.col("__h")))
+    copy = F.row_number().over(Window.partitionBy(key, "__text_hash").orderBy("__h"))
+    return held.withColumn("__copy", copy).where("__copy = 1").select(*columns)
 
 
 def near_duplicate_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
