@@ -27,7 +27,7 @@ SAMPLE_DOCS = 250
 ROUNDS, PIECE, RUN = 3, 8, 40
 #: Probability of a character outside the vocabulary, and the least of any piece.
 UNKNOWN, FLOOR = 1e-8, 1e-7
-CACHE = 400_000
+CACHE = 120_000
 #: Least posterior with which a filter accepts a document.
 LEAST_SCORE = 0.4
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -135,7 +135,7 @@ class Scorer:
 
     def clear(self):
         self.at: dict[str, int] = {}
-        self.table = np.zeros((0, self.width))
+        self.table = np.zeros((0, self.width), np.float32)
 
     def words(self, new: set[str]) -> dict[str, np.ndarray]:
         out = {}
@@ -151,7 +151,7 @@ class Scorer:
             raise AssertionError("cleared by the caller")
         found = {c: [r for w in LETTERS.findall(c) for r in runs(w)] for c in chunks}
         known = self.words({r for rs in found.values() for r in rs})
-        rows = np.zeros((len(found), self.width))
+        rows = np.zeros((len(found), self.width), np.float32)
         for i, (c, rs) in enumerate(found.items()):
             self.at[c] = len(self.table) + i
             for r in rs:
@@ -168,7 +168,7 @@ class Scorer:
         out = np.zeros((len(texts), self.width))
         for i, chunks in enumerate(split):
             if chunks:
-                out[i] = self.table[np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))].sum(0)
+                out[i] = self.table[np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))].sum(0, dtype=np.float64)
         return out
 
 
@@ -214,8 +214,8 @@ def predict(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_id
         def step(keys, texts):
             mine = scorer(sent.value, name)
             pred, score = [], []
-            for at in range(0, len(texts), 512):
-                total = mine.totals(texts[at : at + 512])
+            for at in range(0, len(texts), 256):
+                total = mine.totals(texts[at : at + 256])
                 for row in total:
                     if not langs or not row[-1]:
                         pred.append("und")
@@ -242,8 +242,8 @@ def accepted(docs: DataFrame, model: dict, least: float = LEAST_SCORE, text: str
         mine = scorer(sent.value, name)
         out = []
         rows = texts.tolist()
-        for at in range(0, len(rows), 512):
-            for row in mine.totals(rows[at : at + 512]):
+        for at in range(0, len(rows), 256):
+            for row in mine.totals(rows[at : at + 256]):
                 top = row[:-1].max(initial=-np.inf)
                 out.append(bool(row[-1] > 0 and 1 / np.exp(row[:-1] - top).sum() >= least))
         return pd.Series(out, dtype=bool)
