@@ -13,14 +13,14 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_map, tokenizer_path
+from tallyforge.llm.common import arrow_map, held, tokenizer_path
 
 #: Longest word, in symbols, that the matrix path takes.
 SHORT = 40
@@ -210,10 +210,64 @@ class RankArrayBPE:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(2)
-def encoder(path: str) -> RankArrayBPE:
-    """One encoder, with its cache, per worker process."""
-    return RankArrayBPE(path)
+class StreamingBPE(RankArrayBPE):
+    """The same ids, text by text, with a compiled merge loop: for jobs that only need packed ids.
+
+    The end-of-word mark becomes the byte 0xFF, which no UTF-8 text holds. Joining it to the last
+    byte has the lowest rank, so that happens first; then merges follow in their own order, by the
+    bytes they make. The cache fills itself on a miss and starts over when full.
+    """
+
+    class Cache(dict):
+        def __init__(self, make):
+            super().__init__()
+            self.make = make
+
+        def __missing__(self, chunk: str) -> bytes:
+            if len(self) > StreamingBPE.MOST:
+                self.clear()
+            made = self[chunk] = self.make(chunk)
+            return made
+
+    MOST = 250_000
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        import tiktoken
+
+        back = {c: bytes([b]) for b, c in enumerate(self.bytes)}
+
+        def raw(token: str) -> bytes:
+            whole = token.removesuffix(self.end) if self.end else token
+            return b"".join(back[c] for c in whole) + (b"\xff" if whole != token else b"")
+
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(255)}
+        ids = dict(enumerate(self.inner.tolist())) | {256 + b: int(i) for b, i in enumerate(self.last[:255].tolist())}
+        for r, made in enumerate(self.made.tolist()):
+            ranks.setdefault(raw(self.token[made]), 512 + r)
+            ids[512 + r] = made
+        self.packed = [np.array([ids.get(r, 0)], "<u4").tobytes() for r in range(512 + len(self.made))]
+        self.merge = tiktoken.Encoding("word-end", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.chunks = self.Cache(self.chunk)
+
+    def chunk(self, chunk: str) -> bytes:
+        words = (chunk,) if chunk.isascii() and chunk.isalpha() else self.words.findall(chunk)
+        return b"".join(self.packed[r] for w in words for r in self.merge(w.encode() + b"\xff"))
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        return [self.encode_one(t) for t in texts]
+
+    def encode_one(self, text: str) -> bytes:
+        if UNSETTLED.search(text) or "<|" in text:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        norm = self.normal(text)
+        chunks = [c for c in regex.split(r"\s+", norm) if c] if ODD_SPACE.search(norm) else norm.split()
+        return b"".join(map(self.chunks.__getitem__, chunks))
+
+
+def encoder(path: str, streaming: bool = False) -> RankArrayBPE:
+    """One encoder, with its cache, per worker process and kind; other operators' caches make room."""
+    return held(("bpe", path, streaming), lambda: (StreamingBPE if streaming else RankArrayBPE)(path))
 
 
 def bpe_round_trip(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -76,3 +76,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+
+
+_HELD: list = [None, None]
+
+
+def held(name: tuple, make: Callable[[], object]) -> object:
+    """The one large object (model with its cache) that a worker process holds; another name replaces it."""
+    if _HELD[0] != name:
+        _HELD[:] = [None, None]
+        _HELD[:] = [name, make()]
+    return _HELD[1]

@@ -162,7 +162,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 1,
     cuts = np.array(order_buckets(docs, key, 2 * parts), np.int64)
 
     def make():
-        bpe = encoder(path)
+        bpe = encoder(path, streaming=True)
         end = np.array([end_id], "<u4").tobytes()
 
         def step(keys, texts):

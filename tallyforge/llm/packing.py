@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe import UNSETTLED, byte_symbols
-from tallyforge.llm.common import arrow_map, tokenizer_path
+from tallyforge.llm.common import arrow_map, held, tokenizer_path
 
 #: Pieces in a packing group, about.
 GROUP = 8192
@@ -51,9 +50,8 @@ class ByteBPE:
         return self.fast.encode_to_numpy(text, allowed_special="all")
 
 
-@lru_cache(2)
 def byte_encoder(path: str) -> ByteBPE:
-    return ByteBPE(path)
+    return held(("bytes", path), lambda: ByteBPE(path))
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = 2048, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
