@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import arrow_map, tokenizer_path
+from tallyforge.llm.common import arrow_map, held, tokenizer_path
 
 #: Bound of the labelled sample: documents per language.
 SAMPLE_DOCS = 250
@@ -27,7 +27,7 @@ SAMPLE_DOCS = 250
 ROUNDS, PIECE, RUN = 3, 8, 40
 #: Probability of a character outside the vocabulary, and the least of any piece.
 UNKNOWN, FLOOR = 1e-8, 1e-7
-CACHE = 120_000
+CACHE = 250_000
 #: Least posterior with which a filter accepts a document.
 LEAST_SCORE = 0.4
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -125,61 +125,84 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> dict:
     return {"langs": langs, "pieces": pieces, "prob": prob}
 
 
+#: ASCII bytes other than letters become spaces, capitals small; bytes of other characters stay.
+CLEAN = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
 class Scorer:
-    """Log-probabilities of the chunks (runs without white space) of texts, kept for later texts."""
+    """Log-probabilities of words in each language, kept for later texts."""
 
     def __init__(self, model: dict):
-        self.model, self.lattice = model, Lattice(model["pieces"])
-        self.width = len(model["langs"]) + 1
+        self.model = model
+        prob = model["prob"]
+        lattice = Lattice(model["pieces"])
+        self.keys, self.value = lattice.keys, lattice.value
+        self.prob, self.unknown = prob, lattice.unknown
+        self.maybe = np.zeros(1 << 20, bool)  # whether any piece has these low hash bits
+        self.maybe[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.width = prob.shape[1] + 1
         self.clear()
 
     def clear(self):
-        self.at: dict[str, int] = {}
-        self.table = np.zeros((0, self.width), np.float32)
-
-    def words(self, new: set[str]) -> dict[str, np.ndarray]:
-        out = {}
-        for n, group in by_length(new).items():
-            for at in range(0, len(group), 20_000):
-                part = group[at : at + 20_000]
-                last = forward(self.lattice.spans(part), n, self.model["prob"])[n]
-                out.update(zip(part, np.log(np.maximum(last, 1e-300))))
-        return out
-
-    def learn(self, chunks: set[str]):
-        if len(self.at) > CACHE:
-            raise AssertionError("cleared by the caller")
-        found = {c: [r for w in LETTERS.findall(c) for r in runs(w)] for c in chunks}
-        known = self.words({r for rs in found.values() for r in rs})
-        rows = np.zeros((len(found), self.width), np.float32)
-        for i, (c, rs) in enumerate(found.items()):
-            self.at[c] = len(self.table) + i
-            for r in rs:
-                rows[i, :-1] += known[r]
-            rows[i, -1] = len(rs)
-        self.table = np.concatenate((self.table, rows))
+        self.at: dict[bytes, int] = {}
+        self.table = np.zeros((1024, self.width), np.float32)
+
+    def sums(self, words: list[str]) -> np.ndarray:
+        """Log of the summed segmentations of words of one length: a forward pass that skips spans no piece fills."""
+        n, m = len(words[0]), len(words)
+        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n).T.astype(np.uint64)
+        alpha = np.zeros((n + 1, m, self.width - 1))
+        alpha[0] = 1
+        low = np.uint64((1 << 20) - 1)
+        for i in range(n):
+            h = np.zeros(m, np.uint64)
+            for j in range(i + 1, min(n, i + PIECE) + 1):
+                h = h * BASE + code[j - 1]
+                rows = np.nonzero(self.maybe[(h & low).astype(np.int64)])[0]
+                if len(rows):
+                    mine = h[rows]
+                    at = np.searchsorted(self.keys, mine)
+                    hit = self.keys[at] == mine
+                    rows, at = rows[hit], at[hit]
+                    alpha[j][rows] += alpha[i][rows] * self.prob[self.value[at]]
+                if j == i + 1:
+                    rest = np.ones(m, bool)
+                    rest[rows] = False
+                    if rest.any():
+                        alpha[j][rest] += alpha[i][rest] * UNKNOWN
+        return np.log(np.maximum(alpha[n], 1e-300))
+
+    def learn(self, words: set[bytes]):
+        found = {w: [r for x in LETTERS.findall(w.decode()) for r in runs(x)] for w in words}
+        known = {}
+        for group in by_length({r for rs in found.values() for r in rs}).values():
+            for at in range(0, len(group), 10_000):
+                part = group[at : at + 10_000]
+                known.update(zip(part, self.sums(part)))
+        n = len(self.at)
+        while n + len(found) > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        for i, (w, rs) in enumerate(found.items(), n):
+            self.at[w] = i
+            self.table[i, -1] = len(rs)
+            self.table[i, :-1] = known[rs[0]] if len(rs) == 1 else sum((known[r] for r in rs), np.zeros(self.width - 1))
 
     def totals(self, texts: list[str | None]) -> np.ndarray:
         """Per text: log-likelihood in each language, and the number of scored runs."""
-        split = [(t or "").lower().split() for t in texts]
+        split = [(t or "").lower().encode().translate(CLEAN).split() for t in texts]
         if len(self.at) > CACHE:
             self.clear()
         self.learn(set().union(*split).difference(self.at.keys()))
         out = np.zeros((len(texts), self.width))
-        for i, chunks in enumerate(split):
-            if chunks:
-                out[i] = self.table[np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))].sum(0, dtype=np.float64)
+        for i, words in enumerate(split):
+            if words:
+                out[i] = self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
         return out
 
 
-_SCORER: list = [None, None]
-
-
 def scorer(model: dict, name: str) -> Scorer:
-    """The worker's scorer of this model; another model replaces it."""
-    if _SCORER[0] != name:
-        _SCORER[:] = [name, Scorer(model)]
-    return _SCORER[1]
+    """The worker's scorer of this model."""
+    return held(("langid", name), lambda: Scorer(model))
 
 
 def train(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", label: str = "lang", sample: int = SAMPLE_DOCS) -> dict:
@@ -214,8 +237,8 @@ def predict(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_id
         def step(keys, texts):
             mine = scorer(sent.value, name)
             pred, score = [], []
-            for at in range(0, len(texts), 256):
-                total = mine.totals(texts[at : at + 256])
+            for at in range(0, len(texts), 1024):
+                total = mine.totals(texts[at : at + 1024])
                 for row in total:
                     if not langs or not row[-1]:
                         pred.append("und")
@@ -242,8 +265,8 @@ def accepted(docs: DataFrame, model: dict, least: float = LEAST_SCORE, text: str
         mine = scorer(sent.value, name)
         out = []
         rows = texts.tolist()
-        for at in range(0, len(rows), 256):
-            for row in mine.totals(rows[at : at + 256]):
+        for at in range(0, len(rows), 1024):
+            for row in mine.totals(rows[at : at + 1024]):
                 top = row[:-1].max(initial=-np.inf)
                 out.append(bool(row[-1] > 0 and 1 / np.exp(row[:-1] - top).sum() >= least))
         return pd.Series(out, dtype=bool)
