@@ -89,7 +89,8 @@ def ranked(spend: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     order = [F.desc("spend"), F.lower("store_name"), "store_key"]
-    placed = spend.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    parts = int(spend.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both uses see the same ranges
+    placed = spend.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
     placed = placed.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")

@@ -43,7 +43,7 @@ def from_lines(df: DataFrame, extraction_config: Extraction = Extraction(), conf
 def predict_one(spark: SparkSession, receipt_id: str, recognised: list[dict]) -> dict:
     """Prediction for one receipt as a response dictionary."""
     began = time.perf_counter()
-    rows = spark.createDataFrame([(receipt_id, receipt_id, [(r["text"], float(r["confidence"]), r.get("bbox") or []) for r in recognised])], "receipt_id string, source_file string, regions " + regions.REGION)
+    rows = spark.createDataFrame([(receipt_id, receipt_id, [(r["text"], float(r["confidence"]), [[float(v) for v in p] for p in r.get("bbox") or []]) for r in recognised])], "receipt_id string, source_file string, regions " + regions.REGION)
     made = from_regions(rows).first()
     doc = made.asDict(recursive=True) if made else None
     return {

@@ -28,7 +28,7 @@ def mime_type(path: Column) -> Column:
 
 
 def scan_images(spark: SparkSession, folder: str, recursive: bool = True, suffixes: Iterable[str] = tuple(IMAGES)) -> DataFrame:
-    """Image files below a folder with path, length and content."""
+    """Image files below a folder with path, length and content. Spark's file source skips files of no bytes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return raw.where(suffix(F.col("path")).isin(*suffixes)).withColumn("receipt_id", stem(F.col("path")))
 

