@@ -102,7 +102,9 @@ def score(df: DataFrame, config: Confidence = Confidence()) -> DataFrame:
     Adds ``fields`` (store_name, date, total_amount), scored ``items``, ``overall_confidence``,
     ``reliability``, ``review_required`` and ``conflicts``.
     """
-    regions = F.coalesce(F.col("regions"), F.array().cast("array<struct<cleaned_text:string,confidence:double>>"))
+    known = F.transform("regions", lambda r: F.struct(r["cleaned_text"].alias("cleaned_text"), r["confidence"].cast("double").alias("confidence")))
+    df = df.withColumn("__regions", F.coalesce(known, F.array().cast("array<struct<cleaned_text:string,confidence:double>>")))
+    regions = F.col("__regions")
     df = df.withColumn("__count", count_consistency(F.col("item_count"), F.col("expected_item_count")))
     item_sum = F.when(F.size("items") > 0, F.aggregate("items", F.lit(0.0), lambda a, x: a + x["price"]))
     df = df.withColumn("financial_consistency", financial_consistency(item_sum, F.col("total_amount"), config))
