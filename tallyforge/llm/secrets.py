@@ -27,12 +27,12 @@ FINDINGS = 2400
 
 #: Candidate runs, words that mark secrets, words that mark other things, provider prefixes.
 RUN = r"[A-Za-z0-9_+/=-]{16,}"
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])(?=[0-9_+/=-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/=-]*[0-9])(?=[0-9_+/=-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])|-----BEGIN [A-Z ]*PRIVATE KEY-----"
 KEY_WORDS = r"token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?secret|signing[_-]?key"
 OTHER_WORDS = r"sha-?[0-9]*|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|integrity|example|sample|dummy|placeholder|isbn|order|invoice|build|version|fingerprint|trace|request|session|image|file"
 PREFIXES = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|glpat-|npm_|eyJ|-----BEGIN)"
 PLACEHOLDER = r"(?i)x{6,}|0{8,}|1234567|abcdef0?12?3|changeme|your[_-]|example"
-PATHS = r"(?i)test|example|fixture|sample|mock|docs?\\b"
+PATHS = r"(?i)test|example|fixture|sample|mock|docs?\b"
 DICTIONARY = (
     "access account action address agent android apple application archive array asset async author background backup base batch block body book branch browser buffer build button cache call card catalog "
     "cell center change channel chart check class clean client cloud code collection color column command comment commit common component config connect console container content context control "
@@ -132,6 +132,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[dict]:
                 c = chars(hexa, rng.choice((24, 32, 40)))
                 path = rng.choice(("lock.json", "docs/example.md", "tests/fixture.json"))
                 before += rng.choice(("", "integrity ", "rev "))
+            if kind in (0, 2, 3):
+                after = quote + after
         out.append({"c": c, "before": before[-40:], "after": after[:20], "source": path, "y": int(good)})
     return out
 
@@ -144,7 +146,7 @@ def _forest_sql(app: str, seed: int) -> str:
     table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kinds)).alias("r")).select("r.*")
     made = table.select(F.expr(feature_sql("c", "before", "after", "source")).alias("f"), "y").collect()  # FINDINGS rows
     x = np.array([[r.f[k] for k in FEATURES] for r in made], float)
-    grown = trees.forest(x, np.array([r.y for r in made]), trees=21, depth=6)
+    grown = trees.forest(x, np.array([r.y for r in made]), trees=31, depth=8)
     names = [f"f.{k}" for k in FEATURES]
     return "(" + " + ".join(trees.sql(t, names) for t in grown) + f") / {len(grown)}D"
 
@@ -162,11 +164,11 @@ def scan(docs: DataFrame, text: str = "text", source: str = "source", into: str
     """
     forest = forest_sql(docs.sparkSession)
     t, s = f"`{text}`", f"`{source}`" if source in docs.columns else "''"
-    edge = quoted("[A-Za-z0-9_+/=-]")
+    edge, tail = quoted("[A-Za-z0-9_+/-]"), quoted("[A-Za-z0-9_+/=-]")
     candidates = f"CASE WHEN {t} RLIKE {quoted(RUN)} OR {t} LIKE '%PRIVATE KEY%' THEN array_distinct(regexp_extract_all({t}, {quoted(CANDIDATE)}, 0)) ELSE array() END"
     pieces = f"split({t}, concat('\\\\Q', c, '\\\\E'), -1)"
     around = f"transform(slice(p, 2, greatest(size(p) - 1, 0)), (after, i) -> named_struct('before', right(p[i], 40), 'after', left(after, 20)))"
-    whole = f"filter(transform(array({pieces}), p -> {around})[0], w -> NOT (right(w.before, 1) RLIKE {edge}) AND NOT (left(w.after, 1) RLIKE {edge}))"
+    whole = f"filter(transform(array({pieces}), p -> {around})[0], w -> NOT (right(w.before, 1) RLIKE {edge}) AND NOT (left(w.after, 1) RLIKE {tail}))"
     scores = f"transform(transform({whole}, w -> {feature_sql('c', 'w.before', 'w.after', s)}), f -> {forest})"
     judged = f"transform(cs, c -> named_struct('value', c, 'scores', filter({scores}, v -> v >= {THRESHOLD}D)))"
     found = f"transform(filter({judged}, x -> size(x.scores) > 0), x -> named_struct('value', x.value, 'places', size(x.scores), 'score', array_max(x.scores)))"
