@@ -256,7 +256,10 @@ def predict(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_id
 
 
 def accepted(docs: DataFrame, model: dict, least: float = LEAST_SCORE, text: str = "text") -> DataFrame:
-    """Rows whose language is told with a posterior of ``least`` or more; all columns stay as they are."""
+    """Rows whose language is told with a posterior of ``least`` or more; all columns stay as they are.
+
+    A model without languages tells none, so no row is accepted.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     name = model["name"]
 
@@ -268,7 +271,7 @@ def accepted(docs: DataFrame, model: dict, least: float = LEAST_SCORE, text: str
         for at in range(0, len(rows), 1024):
             for row in mine.totals(rows[at : at + 1024]):
                 top = row[:-1].max(initial=-np.inf)
-                out.append(bool(row[-1] > 0 and 1 / np.exp(row[:-1] - top).sum() >= least))
+                out.append(bool(top > -np.inf and row[-1] > 0 and 1 / np.exp(row[:-1] - top).sum() >= least))
         return pd.Series(out, dtype=bool)
 
     return docs.where(told(F.col(text)))
