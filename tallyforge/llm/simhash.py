@@ -95,30 +95,46 @@ def near_duplicates(docs: DataFrame, distance: int = 2, size: int = 3, seed: int
     has a null id. Repeated rows come out repeated. Empty table: no rows.
     """
     rows = written(fingerprints(docs, size, seed, text, key), "fingerprints")
-    return rows.join(groups(rows, distance), "fp").select(F.col("key").alias(key), "fp", "component_id")
+    found = written(groups(rows, distance), "groups")
+    return attach(rows, found).select(F.col("key").alias(key), "fp", "component_id")
+
+
+def attach(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with the group of their fingerprint; a fingerprint may hold a third of all rows.
+
+    Fingerprints of more than 1 / (4 x partitions) of the rows number 4 x partitions at most, so they
+    are broadcast and their rows stay where they are; the others meet in a plain join.
+    """
+    total = found.agg(F.sum("n")).first()[0] or 0
+    limit = total / (4 * shuffle_partitions(rows.sparkSession))
+    hot, cold = F.broadcast(found.where(F.col("n") > limit).drop("n")), found.where(F.col("n") <= limit).drop("n")
+    return rows.join(hot, "fp").unionByName(rows.join(hot, "fp", "left_anti").join(cold, "fp"))
 
 
 def groups(rows: DataFrame, distance: int = 2) -> DataFrame:
-    """``fp, root, component_id`` of each distinct fingerprint of ``rows``; ``root`` numbers the group."""
-    reps = written(rows.groupBy("fp").agg(F.min("key").alias("first")), "representatives")
+    """``fp, n, root, component_id`` of each distinct fingerprint of ``rows``; ``root`` numbers the group, ``n`` counts the rows."""
+    reps = written(rows.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "representatives")
     parts = shuffle_partitions(rows.sparkSession)
     linked = components(links(reps.select("fp").repartition(parts), distance))
     by = linked.join(reps, linked.node == reps.fp).select("fp", "root", "first")
     lowest = by.groupBy("root").agg(F.min("first").alias("low"))
     joined = reps.join(by.join(lowest, "root").select("fp", "root", "low"), "fp", "left")
-    return joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "first").alias("component_id"))
+    return joined.select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "first").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, distance: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each group, with all its columns: that with the smallest key (nulls last, then by text hash)."""
     rows = written(fingerprints(docs, text=text, key=key), "fingerprints")
-    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "h")).alias("m")
-    stays = rows.join(groups(rows, distance), "fp").groupBy("root").agg(first).select(F.col("m.key").alias("__key"), F.col("m.h").alias("__h"))
+    least = F.struct(F.col("key").isNull().alias("no_key"), "key", "h")
+    own = rows.groupBy("fp").agg(F.min(least).alias("m"))  # combines on the map side, so a hot fingerprint is one row a task
+    stays = own.join(groups(rows, distance), "fp").groupBy("root").agg(F.min("m").alias("m"))
+    # null keys join like any other; the window below needs no further exchange
+    names = ("__key", "__no_key", "__h")
+    stays = stays.select(F.coalesce("m.key", F.lit(0)).alias(names[0]), F.col("m.no_key").alias(names[1]), F.col("m.h").alias(names[2]))
     columns = docs.columns
-    held = docs.withColumn("__text_hash", F.xxhash64(text))
-    held = held.join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text_hash") == F.col("__h")))
-    copy = F.row_number().over(Window.partitionBy(key, "__text_hash").orderBy("__h"))
-    return held.withColumn("__copy", copy).where("__copy = 1").select(*columns)
+    held = docs.withColumns({names[0]: F.coalesce(F.col(key), F.lit(0)), names[1]: F.col(key).isNull(), names[2]: F.xxhash64(text)})
+    copy = F.row_number().over(Window.partitionBy(*names).orderBy(names[0]))
+    return held.join(stays, list(names), "left_semi").withColumn("__copy", copy).where("__copy = 1").select(*columns)
 
 
 def near_duplicate_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
