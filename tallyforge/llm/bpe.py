@@ -171,21 +171,22 @@ class RankArrayBPE:
         """Ids of each text as little-endian uint32.
 
         Strings of special tokens in a text become their ids, as in the library. Texts with a
-        character on which Unicode versions may differ go to the library itself.
+        character on which Unicode versions may differ are split into words by the library's tables;
+        merges are ours for all.
         """
         parts: list[list[list[str] | bytes]] = []
         new: set[str] = set()
         for text in texts:
             row: list[list[str] | bytes] = []
-            if UNSETTLED.search(text):
-                row.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-                parts.append(row)
-                continue
             has = "<|" in text and self.split_special is not None
+            unsettled = UNSETTLED.search(text)
             for piece in self.split_special.split(text) if has else (text,):
                 if has and piece in self.special:
                     row.append(np.array([self.special[piece]], "<u4").tobytes())
                     continue
+                if unsettled:
+                    row.append(b"".join(map(self.merged, self.library_words(piece))))
+                    continue
                 norm = self.normal(piece)
                 chunks = [c for c in regex.split(r"\s+", norm) if c] if ODD_SPACE.search(norm) else norm.split()
                 new.update(chunks)
@@ -202,6 +203,15 @@ class RankArrayBPE:
             for row in parts
         ]
 
+    def library_words(self, text: str) -> list[bytes]:
+        """Words of a text by the library's normaliser and splitter, as bytes."""
+        back = {c: b for b, c in enumerate(self.bytes)}
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(back[c] for c in word) for word, _ in found]
+
+    def merged(self, word: bytes) -> bytes:
+        return self.long(word) if len(word) > SHORT else self.block([word])[0]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(x, "<u4").tolist() for x in self.encode_packed(texts)]
 
