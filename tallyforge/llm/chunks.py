@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import shuffle_partitions
+from tallyforge.llm.common import release, shuffle_partitions
 from tallyforge.llm.dac import order_buckets, streamed
 
 LEAST, NORMAL, GREATEST = 16, 40, 160
@@ -156,6 +156,7 @@ def document_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_i
     rows = rows.repartition(parts, "r").sortWithinPartitions("r", "copy", F.desc("at"), F.coalesce("text", F.lit("")))
 
     def make():
+        release()
         held: list[tuple] = []  # the row that waits for the one after it
         out: list[tuple] = []
 

@@ -84,6 +84,27 @@ _HELD: list = [None, None]
 def held(name: tuple, make: Callable[[], object]) -> object:
     """The one large object (model with its cache) that a worker process holds; another name replaces it."""
     if _HELD[0] != name:
+        had = _HELD[1] is not None
         _HELD[:] = [None, None]
+        if had:
+            give_back()
         _HELD[:] = [name, make()]
     return _HELD[1]
+
+
+def release() -> None:
+    """For operators without a large object: those of others go."""
+    held((), lambda: None)
+
+
+def give_back() -> None:
+    """Freed memory back to the system; workers live on over stages, and their peaks would add up."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import trees
-from tallyforge.llm.common import arrow_map
+from tallyforge.llm.common import arrow_map, release
 
 #: HTML's element groups.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -428,6 +428,8 @@ def main_text(pages: DataFrame, html: str = "html", key: str = "page_id", url: s
     boosted = model()
 
     def make():
+        release()
+
         def step(keys, urls, sources):
             texts = []
             for at in range(0, len(sources), 128):

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_map, written
+from tallyforge.llm.common import arrow_map, release, written
 
 #: Base rules: least words, greatest percentage of repeated words.
 LEAST_WORDS, REPEATED = 50, 50
@@ -107,6 +107,8 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id", label: st
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def make():
+        release()
+
         def step(keys, langs, texts):
             made = [measure(t or "") for t in texts]
             out = {n: [b[i] for b, _ in made] for i, n in enumerate(names)}
@@ -190,6 +192,7 @@ def kept(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str =
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
+        release()
         made = [measure(t or "") for t in texts.tolist()]
         return pd.Series(verdicts([base_fails(b) for b, _ in made], [h.tobytes() for _, h in made], refs)["kept"], dtype=bool)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import arrow_map, hex64, shuffle_partitions, written
+from tallyforge.llm.common import arrow_map, hex64, release, shuffle_partitions, written
 from tallyforge.llm.components import components
 
 SEGMENTS, BITS = 16, 4
@@ -49,6 +49,8 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, text: str = "te
     """
 
     def make():
+        release()
+
         def step(keys, hashes, texts):
             made = [fingerprint((t or "").encode().lower().split(), size, seed) for t in texts]
             return {"key": keys, "h": hashes, "fp": np.array(made, np.uint64).astype(np.int64).tolist() if made else []}

@@ -35,7 +35,9 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
-    return documents(spark, sf_dir).cache()
+    held = documents(spark, sf_dir).cache()
+    yield held
+    held.unpersist()
 
 
 @pytest.fixture(scope="module")
