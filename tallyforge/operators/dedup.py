@@ -8,19 +8,24 @@ from pyspark.sql.window import Window
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key in order."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("__n", n).where("__n = 1").drop("__n")
+    """The first row of each key in order. A grouped minimum, so a hot key is one row per map task."""
+    return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*df.columns), order).alias("__row")).select("__row.*")
 
 
 def drop_ambiguous(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key stands alone; a repeated key loses all its rows."""
-    return df.withColumn("__n", F.count("*").over(Window.partitionBy(key))).where("__n = 1").drop("__n")
+    once = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"), F.first(F.struct(*df.columns)).alias("__row"))
+    return once.where("__n = 1").select("__row.*")
 
 
 def flag_repeats(df: DataFrame, key: str, flag: str = "duplicate") -> DataFrame:
-    """All rows, those of repeated keys flagged."""
-    return df.withColumn(flag, F.count("*").over(Window.partitionBy(key)) > 1)
+    """All rows, those of repeated keys flagged.
+
+    Keys are counted first, from the key column alone and combined on the map side; the repeated ones
+    then join back, where Spark splits a hot key's rows or broadcasts a small side.
+    """
+    repeated = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1").select("__key", F.lit(True).alias(flag))
+    return df.join(repeated, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def first_with_hash(df: DataFrame, content: str, order: str) -> DataFrame:

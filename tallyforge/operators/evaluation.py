@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.config import Evaluation
 from tallyforge.functions import text as T
 from tallyforge.functions import values as V
+from tallyforge.functions.arrow import sequence_ratio
 
 
 def index(df: DataFrame, key: str = "receipt_id") -> DataFrame:
@@ -27,9 +28,15 @@ def align(pred: DataFrame, truth: DataFrame, key: str = "receipt_id") -> DataFra
     return out.withColumns({"prediction_status": state(F.col("__p")), "truth_status": state(F.col("__t"))}).drop("__p", "__t")
 
 
-def strings_match(pred: Column, truth: Column) -> Column:
-    """Null truth: not evaluable (null); missing prediction: false; else equal after normalising."""
-    return F.when(truth.isNull(), None).otherwise(F.coalesce(T.evaluation_text(pred) == T.evaluation_text(truth), F.lit(False)))
+def strings_match(pred: Column, truth: Column, config: Evaluation = Evaluation()) -> Column:
+    """Null truth: not evaluable (null); missing prediction: false; else equal after normalising.
+
+    Without strict strings a ratio of matching blocks that reaches the threshold is enough; only that
+    mode leaves the JVM.
+    """
+    a, b = T.evaluation_text(pred), T.evaluation_text(truth)
+    same = a == b if config.strict_strings else (a == b) | (sequence_ratio(a, b) >= config.string_threshold)
+    return F.when(truth.isNull(), None).otherwise(F.coalesce(same, F.lit(False)))
 
 
 def dates_match(pred: Column, truth: Column, order: str = "DMY") -> Column:
@@ -47,7 +54,7 @@ def fields(aligned: DataFrame, config: Evaluation = Evaluation()) -> DataFrame:
     """Tri-state correctness of the three required fields; without available truth all are null."""
     known = F.col("truth_status") == "available"
     checks = {
-        "store_correct": strings_match(F.col("pred_store_name"), F.col("truth_store_name")),
+        "store_correct": strings_match(F.col("pred_store_name"), F.col("truth_store_name"), config),
         "date_correct": dates_match(F.col("pred_date"), F.col("truth_date"), config.date_order),
         "total_correct": amounts_match(F.col("pred_total_amount"), F.col("truth_total_amount"), config.amount_tolerance),
     }

@@ -31,8 +31,11 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", files.content_hash(F.col("text")).alias("sha256"))
 
 
-@query("""WITH r AS (SELECT doc_id // 1000 AS r, count(*) AS n, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1)
-SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(h, '' ORDER BY r)) AS fingerprint FROM r""")
+_UP = "SELECT o // 1000 AS o, sum(n) AS n, sha256(string_agg(h, '' ORDER BY o)) AS h FROM"
+
+
+@query(f"""WITH a AS ({_UP} (SELECT doc_id AS o, 1 AS n, sha256(text) AS h FROM documents) GROUP BY o // 1000), b AS ({_UP} a GROUP BY o // 1000), c AS ({_UP} b GROUP BY o // 1000)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(h, '' ORDER BY o)) AS fingerprint FROM c""")
 def dataset_fingerprint(spark, sf_dir):
     return files.fingerprint(table(spark, sf_dir, "documents"), "text", "doc_id")
 

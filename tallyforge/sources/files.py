@@ -108,16 +108,18 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
-def fingerprint(df: DataFrame, content: str, order: str) -> DataFrame:
-    """One digest of a whole table: row hashes in order, first within key ranges, then over the ranges.
+def fingerprint(df: DataFrame, content: str, order: str, levels: int = 3) -> DataFrame:
+    """One digest of a whole table, as a tree: a node hashes at most a thousand children in order.
 
-    Each range hashes its own rows, so only one digest per range meets in the last task. The result
-    depends on the ranges of ``order`` values (a thousand each), not on partitions.
+    Leaves are row hashes; the nodes above them are ranges of a thousand, a million and so on of the
+    ``order`` values, so the digest depends on content and order, not on partitions, and no task
+    gathers more than a thousand digests (of dense order values).
     """
-    rows = df.select((F.floor(F.col(order) / 1000)).alias("r"), F.col(order).alias("o"), content_hash(F.col(content)).alias("h"))
-    ranges = rows.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("o", "h"))).alias("hs"), F.count("*").alias("n"))
-    ranges = ranges.select("r", "n", F.sha2(F.array_join(F.transform("hs", lambda x: F.coalesce(x["h"], F.lit(""))), ""), 256).alias("h"))
-    whole = ranges.agg(F.array_sort(F.collect_list(F.struct("r", "h"))).alias("hs"), F.sum("n").alias("n_rows"))
+    rows = df.select(F.col(order).alias("o"), F.coalesce(content_hash(F.col(content)), F.lit("")).alias("h"), F.lit(1).alias("n"))
+    for _ in range(levels):
+        nodes = rows.groupBy(F.floor(F.col("o") / 1000).alias("up")).agg(F.array_sort(F.collect_list(F.struct("o", "h"))).alias("hs"), F.sum("n").alias("n"))
+        rows = nodes.select(F.col("up").alias("o"), F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), ""), 256).alias("h"), "n")
+    whole = rows.agg(F.array_sort(F.collect_list(F.struct("o", "h"))).alias("hs"), F.sum("n").alias("n_rows"))
     return whole.select(F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), ""), 256).alias("fingerprint"))
 
 

@@ -130,3 +130,18 @@ def test_scoring(spark):
     assert r["conflicts"] == ["item_count_mismatch"] and r["review_required"]
     assert r["fields"]["store_name"]["evidence"] == "indexed_exact_source"
     assert 0 < r["overall_confidence"] < 0.7
+
+
+def test_arrow_functions(spark):
+    from tallyforge.config import Evaluation
+    from tallyforge.functions import arrow
+    from tallyforge.operators import evaluation
+
+    df = spark.createDataFrame([("abcd", "bcde", 2.675, "Straße", '{"a": [{"api-key": "x", "n": NaN}], "b": 1}'), (None, "x", None, None, "broken")], "a string, b string, x double, s string, j string")
+    rows = df.select(arrow.sequence_ratio(F.col("a"), F.col("b")).alias("r"), arrow.py_round(F.col("x"), 2).alias("x"), arrow.casefold(F.col("s")).alias("s"), arrow.redact_json(F.col("j")).alias("j")).collect()
+    assert (rows[0]["r"], rows[0]["x"], rows[0]["s"]) == (0.75, 2.67, "strasse")
+    assert rows[0]["j"] == '{"a": [{"api-key": "***", "n": null}], "b": 1}'
+    assert rows[1]["s"] is None and rows[1]["j"] is None
+    loose = Evaluation(strict_strings=False, string_threshold=0.7)
+    got = df.select(evaluation.strings_match(F.col("a"), F.col("b"), loose).alias("m")).collect()
+    assert [r["m"] for r in got] == [True, False]
