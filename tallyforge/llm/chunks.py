@@ -108,29 +108,49 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: Ranges with a bound of their own; more ranges come from equal steps inside these, so plans stay small.
+MOST_CUTS = 512
+
+
+def range_column(docs: DataFrame, column: str, key: str, wanted: int):
+    """Number of the key range of ``column``, about ``wanted`` ranges of like row counts, rising with the key.
+
+    Reads the key column only. Up to ``MOST_CUTS`` quantiles make a search tree in generated code;
+    beyond, each is divided into equal steps of the key.
+    """
+    cuts = order_buckets(docs, key, min(wanted, MOST_CUTS))
+    coarse = bucket_column(column, cuts)
+    steps = -(-wanted // MOST_CUTS)
+    if steps == 1 or not cuts:
+        return coarse
+    least, most = docs.agg(F.min(key), F.max(key)).first()
+    lows, highs = F.array(*map(F.lit, [least, *cuts])), F.array(*map(F.lit, [*cuts, most + 1]))
+    low, high = F.get(lows, coarse).cast("double"), F.get(highs, coarse).cast("double")
+    step = F.floor((F.col(column).cast("double") - low) * steps / F.greatest(high - low, F.lit(1.0)))
+    return coarse * steps + F.greatest(F.lit(0), F.least(F.lit(steps - 1), step)).cast("int")
+
+
 def with_following(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
     """Rows dealt into key ranges, highest first, and beside each range a copy of the row that follows it.
 
-    One shuffle of the texts. Only one key per range passes through the driver.
+    One shuffle of the texts. One key per range passes through the driver and comes back as a
+    broadcast of that many rows.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(key), F.lit(lowest)).alias("at"), F.col(key).alias("key"), F.col(text).alias("text"))
-    cuts = order_buckets(docs.where(F.col(key).isNotNull()), key, 4 * parts)
-    range_of = bucket_column("at", cuts)
+    range_of = range_column(docs.where(F.col(key).isNotNull()), "at", key, 4 * parts)
     tops = sorted((-r["r"], r["top"]) for r in rows.select("at", range_of.alias("r")).groupBy("r").agg(F.max("at").alias("top")).collect())
-    # range r (highest first) is followed by the top of the next one, the last by the first
+    # each range is followed by the top of the next lower one, the last by the first
     follows: dict[int, list[int]] = {}
     for (r, _), (_, top) in zip(tops, tops[1:] + tops[:1]):
         follows.setdefault(top, []).append(-r)
-    at = F.create_map(*[x for top, rs in follows.items() for x in (F.lit(top), F.array(*map(F.lit, rs)))]) if follows else None
-    own = F.array(F.struct(range_of.alias("r"), F.lit(False).alias("copy")))
-    if at is None:
-        return rows.withColumn("r", F.lit(0)).withColumn("copy", F.lit(False)).select("r", "copy", "at", "key", "text"), parts
-    more = F.transform(F.coalesce(F.try_element_at(at, F.col("at")), F.array().cast("array<int>")), lambda r: F.struct(r.alias("r"), F.lit(True).alias("copy")))
-    rows = rows.withColumn("to", F.explode(F.concat(own, more)))
-    return rows.select("to.r", "to.copy", "at", "key", "text"), parts
+    copies = spark.createDataFrame(list(follows.items()), "top bigint, more array<int>")
+    own = F.array(F.struct(range_of.cast("int").alias("r"), F.lit(False).alias("copy")))
+    more = F.transform(F.coalesce("more", F.array().cast("array<int>")), lambda r: F.struct(r.alias("r"), F.lit(True).alias("copy")))
+    dealt = rows.join(F.broadcast(copies), F.col("at") == F.col("top"), "left").withColumn("to", F.explode(F.concat(own, more)))
+    return dealt.select("to.r", "to.copy", "at", "key", "text"), parts
 
 
 def bucket_column(column: str, cuts: list[int]):

@@ -91,6 +91,15 @@ def test_fingerprints_odd_rows(odd, empty):
     assert one["near_next"] == 1.0
 
 
+def test_many_ranges(docs, monkeypatch):
+    want = {tuple(r) for r in chunks.document_fingerprints(docs).collect()}
+    monkeypatch.setattr(chunks, "MOST_CUTS", 3)
+    assert {tuple(r) for r in chunks.document_fingerprints(docs).collect()} == want
+    r = chunks.range_column(docs, "doc_id", "doc_id", 16)
+    sizes = [x["count"] for x in docs.groupBy(r.alias("r")).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 60
+
+
 def test_gear_hash_by_definition():
     raw = bytes(random.Random(2).choices(range(256), k=300))
     fast = chunks.gear_hash(raw).tolist()
