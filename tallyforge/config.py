@@ -69,3 +69,17 @@ class Evaluation:
     def __post_init__(self):
         if self.date_order not in ("DMY", "MDY", "YMD") or not 1 <= self.bins <= 100:
             raise ValueError("date_order is DMY, MDY or YMD; bins 1 to 100")
+
+
+def load(kind: type, section: dict):
+    """Settings of one stage from a configuration section; unknown keys are ignored, lists become tuples."""
+    known = {f for f in kind.__dataclass_fields__}
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in section.items() if k in known})
+
+
+def read_yaml(path: str) -> dict:
+    """Sections of a YAML file, where a YAML reader is installed."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}

@@ -145,3 +145,14 @@ def test_arrow_functions(spark):
     loose = Evaluation(strict_strings=False, string_threshold=0.7)
     got = df.select(evaluation.strings_match(F.col("a"), F.col("b"), loose).alias("m")).collect()
     assert [r["m"] for r in got] == [True, False]
+
+
+def test_config():
+    from tallyforge import config
+
+    made = config.load(config.Extraction, {"vendor_lines": 3, "total_keywords": ["TOTAL"], "other": 1})
+    assert made.vendor_lines == 3 and made.total_keywords == ("TOTAL",)
+    with pytest.raises(ValueError):
+        config.Confidence(ocr_weight=0.9)
+    with pytest.raises(ValueError):
+        config.Evaluation(date_order="XYZ")
