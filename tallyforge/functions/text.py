@@ -40,7 +40,7 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Trimmed, every run of white space one space."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def _nfkc(texts: pd.Series) -> pd.Series:
@@ -95,8 +95,13 @@ def drop_adjacent_repeats(c: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def bare_store(c: Column) -> Column:
+    """Capital letters and digits of a store name, words apart by one space; maybe empty."""
+    return F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " "))
+
+
 def canonical_store(c: Column) -> Column:
-    key = F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " "))
+    key = bare_store(c)
     return F.coalesce(F.when(key != "", key), F.lit(UNKNOWN_STORE))
 
 

@@ -37,7 +37,11 @@ def parse_amount(c: Column) -> Column:
 
 def money_half_up(c: Column) -> Column:
     """Exact money, half up; accounting parentheses and negatives are rejected."""
-    t = bare_amount(c)
+    return bare_money(bare_amount(c))
+
+
+def bare_money(t: Column) -> Column:
+    """Money of a text that ``bare_amount`` has cleaned."""
     x = t.try_cast("decimal(38,10)")
     return F.when((x >= 0) & ~(t.startswith("(") & t.endswith(")")), x.try_cast(MONEY))
 

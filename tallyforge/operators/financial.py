@@ -18,35 +18,37 @@ def records(df: DataFrame, config: Financial = Financial()) -> DataFrame:
     review_required and validation_status, all as text (null where missing); optional ``malformed``
     (array of codes that a reader found). Output adds the normalised values and ``errors``.
     """
-    conf = V.safe_float(F.col("overall_confidence"))
+    parsed = F.struct(
+        T.squeeze(F.col("store_name")).alias("shown"), T.bare_store(F.col("store_name")).alias("bare_store"), V.bare_amount(F.col("total_amount")).alias("bare_total"),
+        V.safe_float(F.col("overall_confidence")).alias("conf"), V.to_bool(F.col("review_required")).alias("review_required"), (F.col("date").isNull() | V.date_problem(F.col("date")).isNull()).alias("date_valid"),
+    )
+    kept = ["receipt_id", "source_file", "date", "total_amount", "overall_confidence", "validation_status", *(["malformed"] if "malformed" in df.columns else [])]
+    # generated from a one-row array: each text is parsed once, as no later filter or column is merged into it
+    df = df.select(*kept, F.inline(F.array(parsed)))
+    df = df.select(*kept, "shown", "bare_store", "conf", "review_required", "date_valid", F.inline(F.array(F.struct(V.bare_money(F.col("bare_total")).alias("total")))))
+    conf, total, status = F.col("conf"), F.col("total"), F.col("validation_status")
     valid = F.col("overall_confidence").isNull() | (conf.isNotNull() & conf.between(0, 1))
-    total = V.money_half_up(F.col("total_amount"))
-    date_ok = F.col("date").isNull() | V.date_problem(F.col("date")).isNull()
-    status = F.col("validation_status")
     malformed = F.col("malformed") if "malformed" in df.columns else F.array().cast("array<string>")
     checks = V.codes(
         (F.lit(config.require_validation) & status.isNull(), "validation_status_missing"),
         (F.lit(config.require_validation) & (status != "passed"), "validation_failed"),
-        (~date_ok, "invalid_date"),
+        (~F.col("date_valid"), "invalid_date"),
         (F.col("total_amount").isNotNull() & total.isNull(), "invalid_total"),
         (~valid, "invalid_confidence"),
     )
     errors = F.sort_array(F.array_distinct(F.concat(checks, malformed)))
-    out = df.select(
-        "receipt_id", "source_file",
-        T.display_store(F.col("store_name")).alias("store_name"),
-        T.canonical_store(F.col("store_name")).alias("store_key"),
-        "date",
-        total.alias("total"),
+    row = F.struct(
+        F.when(F.col("shown") != "", F.col("shown")).alias("store_name"),
+        F.coalesce(F.when(F.col("bare_store") != "", F.col("bare_store")), F.lit(T.UNKNOWN_STORE)).alias("store_key"),
+        "date", "total",
         F.col("total_amount").isNull().alias("missing_total"),
         (F.col("total_amount").isNotNull() & total.isNull()).alias("invalid_total"),
         F.when(valid, F.coalesce(conf, F.lit(0.0))).otherwise(0.0).alias("confidence"),
         valid.alias("confidence_valid"),
         F.col("overall_confidence").isNull().alias("confidence_missing"),
-        V.to_bool(F.col("review_required")).alias("review_required"),
-        date_ok.alias("date_valid"),
-        errors.alias("errors"),
+        "review_required", "date_valid", errors.alias("errors"),
     )
+    out = df.select("receipt_id", "source_file", F.inline(F.array(row)))
     has = lambda code: F.array_contains("errors", code)
     kind = F.when(has("validation_failed"), "validation_failed").when(has("validation_status_missing"), "validation_status_missing").when(has("schema_invalid"), "schema_invalid").otherwise("valid")
     return out.withColumn("classification", kind).withColumn("schema_valid", F.size("errors") == 0)
