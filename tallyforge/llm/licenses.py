@@ -1,8 +1,10 @@
 """License scan: paragraph classifier over sparse word n-grams, confirmed by template comparison. All in SQL functions.
 
-Paragraphs are lines. A softmax regression over words and word pairs gives a family, with an
-unknown class whose bias is calibrated on held-back paragraphs; the family stands if the paragraph
-holds enough of the words of one of its templates. Weights are trained here on varied copies of the
+Lines with an anchor word are scored alone and, as notices are wrapped, in windows of the words
+around them in their paragraph (the run of non-blank lines; a line of comment marks only is blank).
+A softmax regression over words and word pairs gives a family, with an unknown class whose bias is
+calibrated on held-back paragraphs; the family stands if the window holds enough of the words of one
+of its templates. SPDX identifiers are looked up, not scored. Weights are trained here on varied copies of the
 templates and on other text, pruned to a sparse table, and looked up in a map literal. Only lines
 with an anchor word (a word without which no family can win) are classified.
 """
@@ -42,6 +44,15 @@ ANCHOR = r"(?i)\b(?:licen[cs]e[ds]?|unlicense|copyright|redistribut\w*|permissio
 #: Bound of the training paragraphs, of kept weights per family, and the share of template words that confirms.
 PARAGRAPHS, WEIGHTS, CONFIRM, CERTAIN = 3000, 40, 0.6, 0.5
 WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
+#: Words that windows take before and after an anchored line. The longest template has 27 words.
+AROUND = (0, 16, 32, 48)
+#: SPDX identifiers (small letters) of each family, and a tag with its expression.
+SPDX = {
+    "Apache-2.0": "apache-2\\.0", "BSD": "bsd-[1234]-clause.*", "CC-BY": "cc-by-[0-9.]+", "CC-BY-NC": "cc-by-nc-[0-9.]+", "CC-BY-SA": "cc-by-sa-[0-9.]+", "CC0": "cc0-1\\.0", "GPL-2.0": "gpl-2\\.0(?:\\+|-only|-or-later)?",
+    "GPL-3.0": "gpl-3\\.0(?:\\+|-only|-or-later)?", "LGPL": "lgpl-[0-9.]+(?:\\+|-only|-or-later)?", "AGPL": "agpl-[0-9.]+(?:\\+|-only|-or-later)?", "ISC": "isc", "MIT": "mit", "MPL-2.0": "mpl-2\\.0.*", "Proprietary": "licenseref-proprietary.*", "Unlicense": "unlicense",
+}
+SPDX_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?"
+SPDX_TAG = rf"(?i)SPDX-License-Identifier:\s*(\(*{SPDX_ID}\)*(?:\s+(?:AND|OR|WITH)\s+\(*{SPDX_ID}\)*)*)"
 
 
 def words_of(text: str) -> list[str]:
@@ -120,10 +131,12 @@ def quoted(text: str) -> str:
 
 
 def classify(docs: DataFrame, text: str = "text", into: str = "licenses") -> DataFrame:
-    """Adds ``into``: array of ``line`` (from 0), ``family``, ``score`` for each confirmed licence paragraph.
+    """Adds ``into``: array of ``line`` (from 0), ``family``, ``score`` for each confirmed licence notice.
 
-    ``unknown`` is given to an anchored paragraph in which no family is certain and confirmed; plain
-    lines are not listed. Null or empty text: an empty array.
+    A notice wrapped over several lines of a paragraph comes out once, at its first anchored line; an
+    SPDX tag comes out once for each identifier. ``unknown`` is given to an anchored line in which, and
+    around which, no family is certain and confirmed; plain lines are not listed. A window counts for
+    a line only if the line adds words of the template. Null or empty text: an empty array.
     """
     sparse, bias = weights()
     t, k = f"`{text}`", len(FAMILIES)
@@ -131,19 +144,53 @@ def classify(docs: DataFrame, text: str = "text", into: str = "licenses") -> Dat
     groups = [[sorted(set(words_of(x))) for x in TEMPLATES[f]] for f in FAMILIES]
     templates = "from_json(" + quoted(json.dumps(groups)) + ", 'array<array<array<string>>>')"
     start = "array(" + ", ".join(f"{v}D" for v in bias) + ")"
-    words = f"regexp_extract_all(lower(line), '[a-z0-9.]*[a-z0-9]', 0)"
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    words = lambda line: f"regexp_extract_all(lower({line}), '[a-z0-9.]*[a-z0-9]', 0)"
     grams = "array_distinct(concat(ws, transform(slice(ws, 1, greatest(size(ws) - 1, 0)), (w, i) -> concat(w, ' ', ws[i + 1]))))"
     logits = f"aggregate(filter({grams}, g -> map_contains_key(__w, g)), {start}, (a, g) -> zip_with(a, element_at(__w, g), (x, y) -> x + y))"
     soft = "transform(z, v -> exp(v - array_max(z)) / aggregate(z, 0D, (a, x) -> a + exp(x - array_max(z))))"
-    likeness = "array_max(transform(__t[best], tpl -> size(array_intersect(tpl, ws)) / CAST(size(tpl) AS DOUBLE)))"
+    share = lambda ws, of: f"array_max(transform({of}, tpl -> size(array_intersect(tpl, {ws})) / CAST(size(tpl) AS DOUBLE)))"
     names = "array(" + ", ".join(map(quoted, FAMILIES)) + ")"
-    pick = f"CASE WHEN best < {k} AND p[best] >= {CERTAIN}D AND {likeness} >= {CONFIRM}D THEN {names}[best] ELSE '{UNKNOWN}' END"
-    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
-    one = let(words, "ws", let(logits, "z", let(soft, "p", let("CAST(array_position(p, array_max(p)) - 1 AS INT)", "best", f"named_struct('line', n, 'family', {pick}, 'score', round(array_max(p), 6))"))))
-    lines = f"filter(transform(split({t}, '\\n'), (line, n) -> named_struct('line', line, 'n', n)), x -> x.line RLIKE {quoted(ANCHOR)})"
-    found = f"transform(transform({lines}, x -> {let('x.line', 'line', let('x.n', 'n', one))}), x -> x)"
+    # family (k: unknown), score and share of the template of the words ``ws``
+    sure = f"best < {k} AND p[best] >= {CERTAIN}D AND like >= {CONFIRM}D"
+    verdict = f"named_struct('family', IF({sure}, best, {k}), 'score', round(array_max(p), 6), 'like', IF({sure}, like, 0D))"
+    like = f"IF(best < {k}, {share('ws', '__t[best]')}, 0D)"
+    score = let(logits, "z", let(soft, "p", let("CAST(array_position(p, array_max(p)) - 1 AS INT)", "best", let(like, "like", verdict))))
+
+    # the words before and after line n in its paragraph, the nearest first and last
+    most = AROUND[-1]
+    blank = "NOT (y RLIKE '[\\\\p{L}\\\\p{N}]')"
+    run = lambda near: let(near, "ls", let(f"CAST(array_position(transform(ls, y -> {blank}), true) AS INT)", "e", "IF(e = 0, ls, slice(ls, 1, e - 1))"))
+    earlier = f"flatten(transform(reverse({run(f'reverse(slice(lines, greatest(n - {most}, 0) + 1, least(n, {most})))')}), y -> {words('y')}))"
+    later = f"flatten(transform({run(f'slice(lines, n + 2, {most})')}, y -> {words('y')}))"
+    pairs = "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x in AROUND for y in AROUND if x + y) + ")"
+    cut = "named_struct('b', slice(b, greatest(size(b) - q.x, 0) + 1, least(q.x, size(b))), 'a', slice(a, 1, q.y))"
+    windows = f"filter(array_distinct(transform({pairs}, q -> {cut})), v -> size(v.b) + size(v.a) > 0)"
+    # a window stands if the line adds to it, and it holds more of the template than the line alone
+    gain = "named_struct('like', IF(r.like > without, r.like, 0D), 'short', -size(ws), 'score', r.score, 'family', r.family)"
+    without = f"IF(r.family < {k}, {share('rest', '__t[r.family]')}, 1D)"
+    judged = let("concat(v.b, own, v.a)", "ws", let(score, "r", let("concat(v.b, v.a)", "rest", let(without, "without", gain))))
+    scored = f"transform({windows}, v -> {judged})"
+    most_like = let("concat(b, own, a)", "ws", share("ws", "flatten(__t)"))
+    wide = f"IF({most_like} >= {CONFIRM}D AND {most_like} > alone.like, array_max({scored}), NULL)"
+    plain = "named_struct('family', alone.family, 'score', alone.score, 'wide', false)"
+    chosen = let(wide, "w", f"IF(w.like > alone.like, named_struct('family', w.family, 'score', w.score, 'wide', true), {plain})")
+    around = let(earlier, "b", let(later, "a", chosen))
+    one = let(words("line"), "own", let(let("own", "ws", score), "alone", f"IF(alone.like >= 1D, {plain}, {around})"))
+
+    known = "CASE " + " ".join(f"WHEN id RLIKE {quoted('^(?:' + SPDX[f] + ')$')} THEN {i}" for i, f in enumerate(FAMILIES)) + f" ELSE {k} END"
+    expression = f"regexp_replace(regexp_extract(line, {quoted(SPDX_TAG)}, 1), {quoted(r'(?i)\s+WITH\s+' + SPDX_ID)}, '')"
+    ids = f"filter(regexp_extract_all(lower({expression}), {quoted(SPDX_ID)}, 0), id -> id NOT IN ('and', 'or'))"
+    tagged = f"transform(array_distinct(transform({ids}, id -> {known})), f -> named_struct('family', f, 'score', 1D, 'wide', false))"
+    paragraph = "IF(r.wide, size(filter(slice(lines, 1, n + 1), y -> " + blank + ")), -1)"
+    each = f"transform(IF(line RLIKE {quoted(SPDX_TAG)}, {tagged}, array({one})), r -> named_struct('line', n, 'family', r.family, 'score', r.score, 'paragraph', {paragraph}))"
+    anchored = f"filter(transform(lines, (line, n) -> named_struct('line', line, 'n', n)), x -> x.line RLIKE {quoted(ANCHOR)})"
+    found = f"flatten(transform({anchored}, x -> {let('x.line', 'line', let('x.n', 'n', each))}))"
+    single = "filter(all, (x, i) -> x.paragraph < 0 OR NOT exists(slice(all, 1, i), y -> y.paragraph = x.paragraph AND y.family = x.family))"
+    named = f"transform({single}, x -> named_struct('line', x.line, 'family', IF(x.family < {k}, {names}[x.family], '{UNKNOWN}'), 'score', x.score))"
+    whole = let(f"split({t}, '\\\\n')", "lines", let(found, "all", named))
     out = docs.withColumn("__w", F.expr(table)).withColumn("__t", F.expr(templates))
-    return out.withColumn(into, F.expr(f"CASE WHEN {t} RLIKE {quoted(ANCHOR)} THEN {found} ELSE array() END")).drop("__w", "__t")
+    return out.withColumn(into, F.expr(f"CASE WHEN {t} RLIKE {quoted(ANCHOR)} THEN {whole} ELSE array() END")).drop("__w", "__t")
 
 
 def license_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -325,6 +325,29 @@ def test_license_classifier_on_other_paragraphs(spark):
     assert not any(got[i] for i, (_, c) in enumerate(rows) if c == len(licenses.FAMILIES))
 
 
+WRAPPED = [
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+    ("GPL-2.0", " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"),
+    ("BSD", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:"),
+    ("MIT", "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy of this\nsoftware and associated\ndocumentation files, to deal\nin the Software without\nrestriction"),
+]
+
+
+def test_wrapped_notices_and_identifiers(spark):
+    """Each wrapped notice is one paragraph; a line that adds nothing to a notice stays unknown."""
+    tag = "SPDX-License-Identifier: "
+    rows = [(text, want, 1, 0) for want, text in WRAPPED] + [(f"some words here\n{text}\nand more", want, 1, 0) for want, text in WRAPPED]
+    rows += [
+        (f"{tag}MIT", "MIT", 1, 0), (f"// {tag}Apache-2.0", "Apache-2.0", 1, 0), (f"/* {tag}(MIT OR Apache-2.0) */", "Apache-2.0|MIT", 2, 0), (f"<!-- {tag}GPL-2.0-only WITH Classpath-exception-2.0 -->", "GPL-2.0", 1, 0), (f"# {tag}Zlib", "", 0, 1),
+        ("Released under the MIT License.\nmy driver's license is lost", "MIT", 1, 1), ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0|MIT", 2, 0),
+        (WRAPPED[0][1] + "\n\n" + WRAPPED[2][1], "GPL-3.0|MIT", 2, 0), ("Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met:", "", 0, 1),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["families"], r["n_license_paragraphs"], r["n_unknown"]) for r in licenses.license_report(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [r[1:] for r in rows]
+
+
 def test_licenses_native_and_odd(odd, empty):
     out = licenses.license_report(odd)
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
