@@ -1,6 +1,7 @@
 """Secret scan: pattern candidates, then a random forest that drops false positives. All in SQL functions.
 
-Candidates are runs of token characters that hold a digit and a letter, or private-key headers. For
+Candidates are runs of token characters that hold a digit and a letter, or private keys: from the
+BEGIN line through the END line or, where that is missing, the base64 lines that follow. For
 each place where a candidate stands, the forest sees its length, character-class transitions,
 dictionary coverage, the path (source column) and the words around it. The forest is trained on
 labelled findings, generated here from stated shapes; it is compiled to CASE expressions, so
@@ -27,7 +28,14 @@ FINDINGS = 2400
 
 #: Candidate runs, words that mark secrets, words that mark other things, provider prefixes.
 RUN = r"[A-Za-z0-9_+/=-]{16,}"
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/=-]*[0-9])(?=[0-9_+/=-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: A private key. Line ends may be escaped; a key that never ends holds base64 lines of 40 characters or more, and a shorter last one.
+KEY_EDGE = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+KEY_LINE = r"(?:\s|\\[rn])"
+PRIVATE_KEY = (
+    rf"-----BEGIN {KEY_EDGE}(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END {KEY_EDGE}"
+    rf"|(?:{KEY_LINE}++[A-Z][A-Za-z-]+: [^\n\\]*+)*+(?:{KEY_LINE}++[A-Za-z0-9+/]{{40,}}+={{0,2}})++(?:{KEY_LINE}++[A-Za-z0-9+/]{{1,39}}={{0,2}}(?=[\s\\\"'`]|$))?(?:{KEY_LINE}++=[A-Za-z0-9+/]{{4}})?)?"
+)
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/=-]*[0-9])(?=[0-9_+/=-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])|" + PRIVATE_KEY
 KEY_WORDS = r"token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?secret|signing[_-]?key"
 OTHER_WORDS = r"sha-?[0-9]*|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|integrity|example|sample|dummy|placeholder|isbn|order|invoice|build|version|fingerprint|trace|request|session|image|file"
 PREFIXES = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|glpat-|npm_|eyJ|-----BEGIN)"
@@ -89,6 +97,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[dict]:
     filler = lambda: " ".join("".join(rng.choices("an be er the ou ti re on st ha".split(), k=rng.randint(1, 4))) for _ in range(rng.randint(0, 6)))
     names = "token secret password passwd api_key apikey access_key auth_token client_secret secret_key private_key bearer credential".split()
     others = "sha256 sha1 md5 commit checksum digest hash etag uuid guid revision integrity build isbn order trace request image file".split()
+    lines = lambda: "\n".join([*(chars(alnum + "+/", 64) for _ in range(rng.randint(1, 50))), chars(alnum + "+/", rng.randint(4, 63)) + rng.choice(("", "=", "=="))])
+    key_kind = lambda: rng.choice(("RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"))
+    private = lambda: (k := key_kind()) and f"-----BEGIN {k}-----\n{lines()}" + rng.choice(("", f"\n-----END {k}-----", f"\n-----END {k}-----"))
     out = []
     for i in range(n):
         good = i % 2 == 0
@@ -96,8 +107,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[dict]:
         if good:
             c = rng.choice((lambda: chars(hexa, rng.choice((32, 40, 40, 48, 64))), lambda: chars(alnum, rng.randint(20, 48)), lambda: chars(alnum + "+/", rng.randint(28, 60)) + rng.choice(("", "=", "==")),
                             lambda: rng.choice(("AKIA", "ASIA")) + chars(alnum[:26] + "0123456789", 16), lambda: "ghp_" + chars(alnum, 36), lambda: "xoxb-" + chars("0123456789", 11) + "-" + chars(alnum, 24),
-                            lambda: "sk_live_" + chars(alnum, 24), lambda: "eyJ" + chars(alnum, 40), lambda: chars(alnum, rng.randint(16, 24)), lambda: "-----BEGIN RSA PRIVATE KEY-----"))()
-            if rng.random() < 0.12:
+                            lambda: "sk_live_" + chars(alnum, 24), lambda: "eyJ" + chars(alnum, 40), lambda: chars(alnum, rng.randint(16, 24)), lambda: "-----BEGIN RSA PRIVATE KEY-----", private))()
+            if rng.random() < 0.12 and "\n" not in c:
                 c = c.upper() if rng.random() < 0.7 else c
             strong = c.startswith(("AKIA", "ASIA", "ghp_", "xoxb", "sk_l", "eyJ", "-----"))
             if strong and rng.random() < 0.4:
@@ -166,7 +177,7 @@ def scan(docs: DataFrame, text: str = "text", source: str = "source", into: str
     t, s = f"`{text}`", f"`{source}`" if source in docs.columns else "''"
     edge, tail = quoted("[A-Za-z0-9_+/-]"), quoted("[A-Za-z0-9_+/=-]")
     candidates = f"CASE WHEN {t} RLIKE {quoted(RUN)} OR {t} LIKE '%PRIVATE KEY%' THEN array_distinct(regexp_extract_all({t}, {quoted(CANDIDATE)}, 0)) ELSE array() END"
-    pieces = f"split({t}, concat('\\\\Q', c, '\\\\E'), -1)"
+    pieces = f"split({t}, concat('\\\\Q', replace(c, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E'), -1)"
     around = f"transform(slice(p, 2, greatest(size(p) - 1, 0)), (after, i) -> named_struct('before', right(p[i], 40), 'after', left(after, 20)))"
     whole = f"filter(transform(array({pieces}), p -> {around})[0], w -> NOT (right(w.before, 1) RLIKE {edge}) AND NOT (left(w.after, 1) RLIKE {tail}))"
     scores = f"transform(transform({whole}, w -> {feature_sql('c', 'w.before', 'w.after', s)}), f -> {forest})"
