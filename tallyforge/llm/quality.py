@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence.
 
-One pass takes the base counts of each text and two histograms: of character classes and of common
-words. The histograms of documents that pass the base rules are summed by language over the whole
+One pass takes the base counts of each text and two histograms: of character classes, digits
+among them, and of common words, other words and numbers. The histograms of documents that pass the base rules are summed by language over the whole
 corpus; these sums are the language references. A document is kept if, for some language, the
 Jensen-Shannon distances of its histograms to the references are within the thresholds. Texts with
 too few characters or common words for a stable histogram skip that comparison.
@@ -9,6 +9,7 @@ too few characters or common words for a stable histogram skip that comparison.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -20,8 +21,8 @@ from tallyforge.llm.common import arrow_map, release, written
 
 #: Base rules: least words, greatest percentage of repeated words.
 LEAST_WORDS, REPEATED = 50, 50
-#: Thresholds of the divergences (base 2, square root), and the least characters and common words to compare.
-CHARACTERS, WORDS = 0.15, 0.45
+#: Thresholds of the divergences (base 2, square root), the first fitted to the labels of sf0.01, and the least characters and common words to compare.
+CHARACTERS, WORDS = 0.18, 0.45
 LEAST_CHARACTERS, LEAST_COMMON = 200, 30
 #: Words a language needs in all its documents to serve as a reference.
 LEAST_REFERENCE = 2000
@@ -37,8 +38,8 @@ de la que el en y a los del se las por un para con no una su al lo
 le les des et une du dans est pour qui au par sur pas plus ce avec son il sont
 """.split()
 WORD_AT = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON))}
-#: Digits are left out of the comparison: how many a text has says little about its language.
-NUMBERS = 3
+#: A numeric token, the last bin of the word histogram.
+NUMBER = re.compile(r"\d+")
 CLASSES = ("lower", "upper", "other letter", "digit", "space", "line end", "stop", "symbol", "other")
 
 
@@ -87,10 +88,9 @@ def measure(text: str) -> tuple[list[int], np.ndarray]:
         len(lines) - len(set(lines)),
         repeated_words(words),
     ]
-    hist = np.zeros(len(CLASSES) + len(WORD_AT) + 1, np.uint32)
+    hist = np.zeros(len(CLASSES) + len(WORD_AT) + 2, np.uint32)
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     hist[: len(CLASSES)] = np.bincount(CLASS[np.minimum(code, 0xFFFF)], minlength=len(CLASSES))
-    hist[NUMBERS] = 0
     plain = raw.lower().translate(CLEAN) if text.isascii() else text.lower().encode().translate(CLEAN)
     seen = Counter(plain.split())
     common = 0
@@ -98,7 +98,8 @@ def measure(text: str) -> tuple[list[int], np.ndarray]:
         if w in seen:
             hist[len(CLASSES) + i] = seen[w]
             common += seen[w]
-    hist[-1] = seen.total() - common
+    hist[-2] = seen.total() - common
+    hist[-1] = len(NUMBER.findall(text))
     return base, hist
 
 
@@ -123,7 +124,7 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id", label: st
 
 def references(rows: DataFrame) -> np.ndarray:
     """Summed histograms, a row per language, of documents that pass the base rules. The driver gets a row per language."""
-    size = len(CLASSES) + len(WORD_AT) + 1
+    size = len(CLASSES) + len(WORD_AT) + 2
 
     def make():
         def step(langs, hists):

@@ -219,6 +219,20 @@ def test_quality_verdicts_follow_labels(spark):
     assert len(rows) > 100 and right / len(rows) > 0.97
 
 
+def test_numbers_count(spark):
+    """Prose stuffed with numbers is dropped; the same prose without them, or with one a hundred words, is kept."""
+    d = documents(spark, "/root/testdata/sf0.01")
+    clean = [r for r in quality.quality_rules(d).where("kept and n_symbols = 0 and n_words >= 200").join(d.where("lang = 'en'"), "doc_id").orderBy("doc_id").limit(40).collect()]
+    stuffed = lambda text, every: " ".join(w + (f" {1234567890 + 7 * i}" if i % every == every - 1 else "") for i, w in enumerate(text.split(" ")))
+    forms = {"plain": lambda t: t, "few": lambda t: stuffed(t, 100), "each": lambda t: stuffed(t, 1), "half": lambda t: stuffed(t, 2)}
+    rows = [(i * 10 + k, f(r["text"]), "en", n) for i, r in enumerate(clean) for k, (n, f) in enumerate(forms.items())]
+    refs = quality.references(quality.features(d))
+    made = [quality.measure(r[1]) for r in rows]
+    good = quality.verdicts([quality.base_fails(b) for b, _ in made], [h.tobytes() for _, h in made], refs)["kept"]
+    share = {n: np.mean([g for g, r in zip(good, rows) if r[3] == n]) for n in forms}
+    assert share["plain"] == 1 and share["few"] > 0.9 and share["each"] == 0 and share["half"] == 0
+
+
 def test_divergence():
     p = np.array([[1.0, 0.0], [1.0, 1.0]])
     d = quality.distance(p, np.array([[0.0, 1.0], [1.0, 0.0]]))
