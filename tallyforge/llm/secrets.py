@@ -1,7 +1,8 @@
 """Secret scan: pattern candidates, then a random forest that drops false positives. All in SQL functions.
 
 Candidates are runs of token characters that hold a digit and a letter, or private keys: from the
-BEGIN line through the END line or, where that is missing, the base64 lines that follow. For
+BEGIN line through the END line or, where that is missing, the base64 lines that follow. So are values of six characters or more
+that are assigned to a key word, quoted or unspaced, whatever characters they hold. For
 each place where a candidate stands, the forest sees its length, character-class transitions,
 dictionary coverage, the path (source column) and the words around it. The forest is trained on
 labelled findings, generated here from stated shapes; it is compiled to CASE expressions, so
@@ -23,7 +24,7 @@ from tallyforge.llm import trees
 MASK = "[SECRET]"
 #: Share of trees' votes from which a finding is a secret.
 THRESHOLD = 0.5
-#: Bound of the labelled findings.
+#: Bound of the labelled findings of long shapes; half as many of assigned values are added.
 FINDINGS = 2400
 
 #: Candidate runs, words that mark secrets, words that mark other things, provider prefixes.
@@ -37,6 +38,12 @@ PRIVATE_KEY = (
 )
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/=-]*[0-9])(?=[0-9_+/=-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])|" + PRIVATE_KEY
 KEY_WORDS = r"token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?secret|signing[_-]?key"
+ASSIGNMENT = (
+    rf"(?i)(?:{KEY_WORDS})(?:[_-](?:key|token|value))?[\"'`\]]{{0,2}}[ \t]{{0,3}}(?::=|=>|==?|:)[ \t]{{0,3}}[\"'`]?"
+    r"((?<=\")[^\"\n]{6,}(?=\")|(?<=')[^'\n]{6,}(?=')|(?<=`)[^`\n]{6,}(?=`)|[^\s\"'`,;]{5,}[^\s\"'`,;.)\]}>])"
+)
+#: Code, references to variables, and blanked values.
+EXPRESSION = r"^[A-Za-z_.]+[(\[]|^[$%]?[({]|^\$[A-Za-z_]+$|^<.*>?$|^%[a-z]|^[A-Za-z_]+(?:\.[A-Za-z_]+)+|^[*.xX_-]+$|^https?:"
 OTHER_WORDS = r"sha-?[0-9]*|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|integrity|example|sample|dummy|placeholder|isbn|order|invoice|build|version|fingerprint|trace|request|session|image|file"
 PREFIXES = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|glpat-|npm_|eyJ|-----BEGIN)"
 PLACEHOLDER = r"(?i)x{6,}|0{8,}|1234567|abcdef0?12?3|changeme|your[_-]|example"
@@ -54,7 +61,7 @@ DICTIONARY = (
     "task team template test text theme thread time title total track type unit update upload user utils value version video view visible web width window word work write year"
 ).split()
 
-FEATURES = ("len", "runs", "run_share", "digits", "uppers", "hexonly", "cover", "spread", "keynear", "keyword", "assigned", "quoted", "other", "prefix", "filler", "testpath")
+FEATURES = ("len", "runs", "run_share", "digits", "uppers", "hexonly", "cover", "spread", "keynear", "keyword", "assigned", "quoted", "other", "prefix", "filler", "testpath", "symbols", "letters", "spaces", "expression", "password")
 
 
 def feature_sql(c: str, before: str, after: str, source: str) -> str:
@@ -78,6 +85,11 @@ def feature_sql(c: str, before: str, after: str, source: str) -> str:
         "other": test(before, rf"(?i)(?:{OTHER_WORDS})[^A-Za-z0-9]{{0,8}}(?:[a-z0-9]{{0,8}}[^A-Za-z0-9]{{0,4}})?$"),
         "prefix": test(c, PREFIXES),
         "filler": test(c, PLACEHOLDER),
+        "symbols": f"length(regexp_replace({c}, '[A-Za-z0-9_ ]', '')) / CAST(length({c}) AS DOUBLE)",
+        "letters": test(c, "^[A-Za-z]+$"),
+        "spaces": f"length(regexp_replace({c}, '[^ ]', '')) / CAST(length({c}) AS DOUBLE)",
+        "expression": test(c, EXPRESSION),
+        "password": test(before, r"(?i)(?:passw(?:or)?d|passwd|pwd)[^A-Za-z0-9]{0,8}$"),
         "testpath": f"CAST(coalesce({source}, '') RLIKE {quoted(PATHS)} AS DOUBLE)",
     }
     return "named_struct(" + ", ".join(f"'{k}', {values[k]}" for k in FEATURES) + ")"
@@ -146,6 +158,57 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[dict]:
             if kind in (0, 2, 3):
                 after = quote + after
         out.append({"c": c, "before": before[-40:], "after": after[:20], "source": path, "y": int(good)})
+    return out + assigned_values(n // 2, seed)
+
+
+def assigned_values(n: int, seed: int) -> list[dict]:
+    """Values assigned to a key word: passwords of any characters, and code, references, placeholders, types and prose."""
+    rng = random.Random(seed + 1)
+    alnum, marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "!@#$%^&*?+-_=.~"
+    chars = lambda s, k: "".join(rng.choices(s, k=k))
+    word = lambda: rng.choice(DICTIONARY)
+    coined = lambda: "".join(rng.choices("an be er sun shi ne mon key ra dor tro ub win ter hun pas dra gon ou ti".split(), k=rng.randint(3, 5)))
+    leet = lambda w: "".join({"a": "@", "o": "0", "e": "3", "i": "1", "s": "5"}.get(x, x) if rng.random() < 0.5 else x for x in w)
+    names = "password passwd pwd db_password PASSWORD secret token api_key auth client_secret DB_PWD user_password".split()
+    out = []
+    for i in range(n):
+        good, quote = i % 2 == 0, rng.choice(('"', '"', "'", ""))
+        mark = rng.choice((" = ", "=", ": ", ":", " := "))
+        key = rng.choice(names)
+        if good:
+            kind = rng.randrange(5)
+            if kind == 0:
+                c = leet(rng.choice((word, coined))()).capitalize() + chars(marks, rng.randint(0, 2)) + chars("0123456789", rng.randint(1, 4))
+            elif kind == 1:
+                c = chars(alnum + marks, rng.randint(7, 18))
+            elif kind == 2:
+                c = leet(coined()) + rng.choice(marks) + leet(word()) + rng.choice(("", chars("0123456789", 4), "!"))
+            elif kind == 3:
+                c = rng.choice((word, coined))() + chars("0123456789", rng.randint(1, 4))
+            else:  # letters only: without quotes these are words of prose, but for passwords right after an equals sign
+                c = rng.choice((coined(), coined().capitalize(), word() + word(), chars(alnum[:52], rng.randint(8, 15))))
+                key = rng.choice([x for x in names if "p" in x.lower()[-8:] and "api" not in x])
+                quote, mark = rng.choice((('"', mark), ("'", mark), ("", "=")))
+            if len(c) < 6:
+                c += chars(alnum[52:], 6 - len(c))
+        else:
+            kind = rng.randrange(6)
+            if kind == 0:
+                c, quote = rng.choice((f"get_{word()}(", f"os.environ[{word()}", f"self.{word()}", f"config.{word()}.{word()}", f"process.env.{word().upper()}", f"{word()}({word()}", f"request.{word()}", "getpass.getpass(")), ""
+            elif kind == 1:
+                c = rng.choice((f"${{{word().upper()}_{word().upper()}}}", f"${word().upper()}_PASSWORD", f"{{{{ {word()} }}}}", f"<{word()}>", f"<your-{word()}>", "%(password)s", f"{{{word()}}}"))
+            elif kind == 2:
+                c = rng.choice(("changeme", "your_password", "your-token-here", "example", "xxxxxxxx", "********", "example123", "......", "placeholder_example", "your_" + word()))
+            elif kind == 3:
+                c, mark = rng.choice(("string", "required", "optional", "boolean", "number", "String", "Optional", "undefined", "nullable", "default", "integer")), rng.choice((": ", ": ", " = ", ":"))
+            elif kind == 4:
+                c, quote, mark = rng.choice((word(), coined())), "", rng.choice((": ", ": ", " : "))
+                c = c if len(c) > 5 else c + "ment"
+            else:
+                c = " ".join(rng.choice((word, coined))() for _ in range(rng.randint(3, 7)))
+                quote = rng.choice(('"', "'"))
+        before = rng.choice(("", "the ", word() + " ", '"', "--")) + key + rng.choice(("", "", '"')) + mark + quote
+        out.append({"c": c, "before": before, "after": quote + rng.choice(("", ";", ",", " ", "\n")), "source": rng.choice(("src", "config/app.yml", "src3", "src12", "src7")), "y": int(good)})
     return out
 
 
@@ -177,6 +240,8 @@ def scan(docs: DataFrame, text: str = "text", source: str = "source", into: str
     t, s = f"`{text}`", f"`{source}`" if source in docs.columns else "''"
     edge, tail = quoted("[A-Za-z0-9_+/-]"), quoted("[A-Za-z0-9_+/=-]")
     candidates = f"CASE WHEN {t} RLIKE {quoted(RUN)} OR {t} LIKE '%PRIVATE KEY%' THEN array_distinct(regexp_extract_all({t}, {quoted(CANDIDATE)}, 0)) ELSE array() END"
+    values = f"CASE WHEN {t} RLIKE {quoted('(?i)(?:' + KEY_WORDS + ')')} THEN regexp_extract_all({t}, {quoted(ASSIGNMENT)}, 1) ELSE array() END"
+    candidates = f"array_distinct(concat({candidates}, {values}))"
     pieces = f"split({t}, concat('\\\\Q', replace(c, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E'), -1)"
     around = f"transform(slice(p, 2, greatest(size(p) - 1, 0)), (after, i) -> named_struct('before', right(p[i], 40), 'after', left(after, 20)))"
     whole = f"filter(transform(array({pieces}), p -> {around})[0], w -> NOT (right(w.before, 1) RLIKE {edge}) AND NOT (left(w.after, 1) RLIKE {tail}))"
@@ -188,9 +253,11 @@ def scan(docs: DataFrame, text: str = "text", source: str = "source", into: str
 
 
 def redact(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """Every found value in the text replaced by a mask; other columns and the order of columns stay."""
+    """Every found value in the text replaced by a mask, short ones as whole words only; other columns and the order of columns stay."""
     scanned = scan(docs, text, source, "__scan")
-    masked = F.expr(f"CASE WHEN size(__scan.found) > 0 THEN aggregate(array_sort(__scan.found, (a, b) -> length(b.value) - length(a.value)), `{text}`, (t, x) -> replace(t, x.value, '{MASK}')) ELSE `{text}` END")
+    part = "concat('(?<![A-Za-z0-9])\\\\Q', replace(x.value, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E(?![A-Za-z0-9])')"
+    step = f"IF(length(x.value) < 16, regexp_replace(t, {part}, '{MASK}'), replace(t, x.value, '{MASK}'))"
+    masked = F.expr(f"CASE WHEN size(__scan.found) > 0 THEN aggregate(array_sort(__scan.found, (a, b) -> length(b.value) - length(a.value)), `{text}`, (t, x) -> {step}) ELSE `{text}` END")
     return scanned.withColumn(text, masked).drop("__scan")
 
 

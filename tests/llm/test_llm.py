@@ -283,6 +283,17 @@ def test_private_keys_are_masked_whole(spark):
     assert all(r["n_candidates"] == r["n_secrets"] == 1 for r in secrets.secret_report(df).where("doc_id < 99").collect())
 
 
+def test_short_and_odd_passwords(spark):
+    found = ['password = "Tr0ub4dor&3"', 'password = "p@ss!w0rd#2024"', "pwd='hunter2x!'", 'db_password: "S3cret!x"', "PASSWORD=Winter2024!", 'passwd = "sunshineday"', '"password": "dragonmonkey"', "password = \"a'b c$1\\E(x)9\""]
+    plain = ["the password: please enter it", "token: string", "password = getpass.getpass()", 'password = "${DB_PASSWORD}"', 'password = "your_password"', "auth = config.auth.token", 'password: "Enter your password here"', "secret=********", "password = os.environ['X']"]
+    df = spark.createDataFrame([(i, f"some words\n{x}\nmore", "src") for i, x in enumerate(found + plain)], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["n_secrets"] for r in secrets.secret_report(df).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    values = ["Tr0ub4dor&3", "p@ss!w0rd#2024", "hunter2x!", "S3cret!x", "Winter2024!", "sunshineday", "dragonmonkey", "a'b c$1\\E(x)9"]
+    assert [(x, got[i]) for i, x in enumerate(found + plain)] == [(x, 1) for x in found] + [(x, 0) for x in plain]
+    assert all(masked[i] == f"some words\n{x.replace(v, secrets.MASK)}\nmore" for i, (x, v) in enumerate(zip(found, values)))
+
+
 def test_secret_forest_on_other_findings(spark):
     import json
 
