@@ -62,6 +62,7 @@ class Page:
         self.texts: list[str | None] = [None]
         self.linked: list[int] = [0]
         stack, names = [0], ["html"]
+        places: dict[str, list[int]] = {}  # where each tag is open, so that deep pages cost no more per tag
         buffer: list[str] = []
         links = 0  # open links
         linked = 0
@@ -95,8 +96,13 @@ class Page:
             nonlocal links
             flush()
             links = 0
+            for name in reversed(names[k:]):
+                places[name].pop()
             del stack[k:], names[k:]
 
+        def nearest(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         at, end = 0, len(source)
         while at < end:
             found = source.find("<", at)
@@ -116,8 +122,8 @@ class Page:
                 if tag in INLINE:
                     if tag == "a" and links:
                         links -= 1
-                elif tag in names and tag != "html" and tag != "body":
-                    close(len(names) - 1 - names[::-1].index(tag))
+                elif places.get(tag) and tag != "body":
+                    close(places[tag][-1])
                 elif tag == "p" or tag in GROUP:
                     flush()
                 continue
@@ -144,20 +150,15 @@ class Page:
                 continue
             if tag == "body":
                 opened = True
-            if "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                if not {"td", "th", "button", "object"} & set(names[k:]):
-                    close(k)
+            k = nearest(("p",))
+            if k > nearest(("td", "th", "button", "object")):
+                close(k)
             if tag in CLOSES:
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] in SCOPE.get(tag, ()):
-                        break
-                    if names[k] in CLOSES[tag]:
-                        close(k)
-                        if tag not in ("td", "th", "tr", "tbody", "tfoot"):
-                            break
-            if len(stack) > 500:  # deeper nesting is flattened
-                continue
+                scope, k = nearest(SCOPE.get(tag, ())), nearest(CLOSES[tag])
+                while k > scope:
+                    close(k)
+                    k = nearest(CLOSES[tag]) if tag in ("td", "th", "tr", "tbody", "tfoot") else 0
+            places.setdefault(tag, []).append(len(stack))
             stack.append(add(tag, attrs, None, 0))
             names.append(tag)
         flush()
@@ -423,7 +424,8 @@ def extract(sources: list[str], boosted: trees.Flat) -> list[str]:
 def main_text(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
     """``key, url, text, n_chars`` of every page; null or textless html: an empty text.
 
-    Rows map one to one; null keys and urls stay null; other columns are ignored.
+    Rows map one to one, repeated ones too; null keys and urls stay null; other columns are ignored,
+    whatever their names. Nesting and length are unbounded. Empty table: no rows.
     """
     boosted = model()
 
