@@ -2,6 +2,7 @@
 
 import hashlib
 import html as entities
+import math
 import random
 import re
 import zlib
@@ -339,6 +340,72 @@ def test_forward_sums_all_segmentations():
     scorer = langid.Scorer(model)
     for word in ("a", "ab", "abab", "bca"):
         assert scorer.sums(["▁" + word])[0] == pytest.approx(np.log(total("▁" + word)))
+        assert scorer.sum_alone("▁" + word) == pytest.approx(np.log(total("▁" + word)))
+        several = scorer.sums(["▁" + word, "▁" + word[::-1]])
+        assert several[0] == pytest.approx(np.log(total("▁" + word))) and several[1] == pytest.approx(np.log(total("▁" + word[::-1])))
+
+
+def brute_log_sum(word, logs, longest):
+    """Log of the sum over all segmentations, position by position, for one language."""
+    at = [0.0] + [-math.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - longest), j):
+            p = logs.get(word[i:j], math.log(langid.UNKNOWN) if j == i + 1 else None)
+            if p is not None:
+                at[j] = float(np.logaddexp(at[j], at[i] + p))
+    return at[-1]
+
+
+def test_long_words_and_the_whole_vocabulary():
+    """Words of any length are summed whole, over every piece of the vocabulary."""
+    pieces = langid.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) == 16 and len(pieces) > 25_000
+    rng = random.Random(6)
+    letters = [p for p in pieces if langid.LETTERS.fullmatch(p.removeprefix("▁")) and len(p) > 4]
+    words = ["".join(rng.choices(letters, k=k)).replace("▁", "") for k in (1, 2, 5, 9, 30, 100)] + ["x" * 1000, "ж" * 50, "日本" * 60, "qzx" * 11]
+    model = langid.fit({"a": {w: i + 1 for i, w in enumerate(words[:6])}, "b": {w[::-1]: 2 for w in words}}, pieces)
+    scorer = langid.Scorer(model)
+    for word in words:
+        want = [brute_log_sum("▁" + word, {p: math.log(v) for p, v in zip(pieces, model["prob"][:, k])}, 16) for k in range(2)]
+        assert scorer.sums(["▁" + word])[0] == pytest.approx(want)
+        assert scorer.sum_alone("▁" + word) == pytest.approx(want)
+
+
+def test_em_by_brute_force():
+    """One round of EM equals expected counts over listed segmentations, in short words and (by logarithms) long ones."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "aab"]
+    p = np.array([0.1, 0.2, 0.3, 0.1, 0.1, 0.1, 0.1, langid.UNKNOWN])
+    lattice = langid.Lattice(pieces)
+
+    def listed(word):
+        if not word:
+            return [[]]
+        out = []
+        for k in range(1, len(word) + 1):
+            if word[:k] in pieces or k == 1:
+                out += [[pieces.index(word[:k]) if word[:k] in pieces else len(pieces), *rest] for rest in listed(word[k:])]
+        return out
+
+    words = ["▁aab", "▁bca", "▁aba"]
+    want = np.zeros(len(p))
+    for w, n in zip(words, (3.0, 1.0, 2.0)):
+        ways = listed(w)
+        mass = np.array([np.prod(p[x]) for x in ways])
+        for x, share in zip(ways, n * mass / mass.sum()):
+            np.add.at(want, x, share)
+    assert langid.expected(list(lattice.spans(words)), 4, np.array([3.0, 1.0, 2.0]), p) == pytest.approx(want)
+    long = "▁" + "aab" * 20
+    assert langid.expected(list(lattice.spans([long])), len(long), np.array([1.0]), p) @ np.array([1, 2, 1, 1, 2, 2, 3, 1]) == pytest.approx(len(long))
+
+
+def test_letters_only_count(spark):
+    """Text without a letter is undetermined, whatever numbers and signs it holds; ties and repeated rows agree."""
+    rows = [(1, "½ ² 12"), (2, "Ⅷ ① ½"), (3, "the house is small"), (3, "the house is small"), (4, "¹a")]
+    d = documents(spark, "/root/testdata/sf0.001")
+    got = langid.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), langid.train(d)).collect()
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])][:2] == ["und", "und"]
+    assert len({tuple(r) for r in got if r["doc_id"] == 3}) == 1 and all(r["lang_pred"] != "und" for r in got if r["doc_id"] > 2)
+    assert langid.predict(spark.createDataFrame(rows, "doc_id bigint, text string").limit(0), langid.train(d)).count() == 0
 
 
 def test_language_odd(odd, empty):
@@ -547,6 +614,25 @@ def test_parser(source, blocks):
     assert [t for t in html.Page(source).texts if t is not None] == blocks
 
 
+def test_deep_pages_keep_their_ancestors():
+    """An advert 3,000 levels down is under its own element, and the text after it under the outer ones only."""
+    page = html.Page("<article>" + "<div>" * 3000 + '<div class="ad"><p>buy</p></div>' + "</div>" * 3000 + "<p>after</p></article>")
+    above = lambda i: [page.attrs[i], *(above(page.parent[i]) if page.parent[i] >= 0 else [])] if page.parent[i] < 0 or page.depth[i] < 4 else [page.attrs[i]]
+    buy, after = page.texts.index("buy"), page.texts.index("after")
+    assert page.depth[buy] == 3004 and page.tags[page.parent[page.parent[buy]]] == "div" and 'class="ad"' in page.attrs[page.parent[page.parent[buy]]]
+    assert page.tags[page.parent[after]] == "p" and page.tags[page.parent[page.parent[after]]] == "article"
+    assert not any("ad" in a for a in above(after))
+
+
+def test_levels_grow_the_same_tree():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 5, (500, 6)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 3] > 1)) * 1.0 + rng.random(500) * 0.3
+    levels, fitted = trees.grow_levels(trees.Below(x), y, np.ones(500), 4, 8)
+    one = trees.grow(trees.Binned(x), np.arange(500), y, np.ones(500), 4, 8)
+    assert np.allclose(trees.walk(levels, x), trees.walk(one, x)) and np.allclose(fitted, trees.walk(levels, x))
+
+
 def test_pages_odd(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>x y z. " * 3), (3, "u", deep), (3, "u", deep), (4, "u", "<" * 5000), (5, "u", "<a \"" * 2000)]
