@@ -21,9 +21,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all nodes share: ``spark.checkpoint.dir``, or one of our own where unset (local runs)."""
+    """The folder all nodes share: ``spark.checkpoint.dir``; on a local master, one of our own where unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -67,6 +69,27 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[..., dict]
     return df.mapInArrow(run, schema)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, limit: float, count: str = "n") -> DataFrame:
+    """Rows joined to the row of ``table`` that has their key; ``count`` tells how many rows a key has.
+
+    Keys of more than ``limit`` rows are broadcast, so their rows stay where they are: with a limit of
+    total / (4 x partitions) these are 4 x partitions keys at most. The others meet in a plain join.
+    """
+    hot, cold = F.broadcast(table.where(F.col(count) > limit).drop(count)), table.where(F.col(count) <= limit).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+
+
 def hex64(col: Column) -> Column:
     """A signed 64-bit value as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))

@@ -1,12 +1,17 @@
 """Secret scan: pattern candidates, then a random forest that drops false positives. All in SQL functions.
 
-Candidates are runs of token characters that hold a digit and a letter, or private keys: from the
-BEGIN line through the END line or, where that is missing, the base64 lines that follow. So are values of six characters or more
-that are assigned to a key word, quoted or unspaced, whatever characters they hold. For
-each place where a candidate stands, the forest sees its length, character-class transitions,
-dictionary coverage, the path (source column) and the words around it. The forest is trained on
-labelled findings, generated here from stated shapes; it is compiled to CASE expressions, so
-documents are scanned in generated code and higher-order functions, without a shuffle.
+Candidates are of three kinds: private keys, from the BEGIN line through the END line or, where that
+is missing, the base64 lines that follow; runs of token characters that hold a digit and a letter;
+and values of six characters or more that are assigned to a key word, quoted or unspaced, whatever
+characters they hold, or stand as the password of a URL. For each place where a candidate stands,
+the forest sees its length, character-class transitions, dictionary coverage, the path (source
+column) and the words around it. The forest is trained on labelled findings, generated here from
+stated shapes, and compiled to CASE expressions.
+
+Each kind takes one pass: its matches are marked in the text, which is split at the marks, so a
+candidate has its neighbours beside it and work grows with the text, not with candidates times text.
+Array functions with lambdas, which Spark evaluates without generated code, hold all of it; there
+is no shuffle and no Python.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import trees
+from tallyforge.llm.common import fresh
 
 MASK = "[SECRET]"
 #: Share of trees' votes from which a finding is a secret.
@@ -36,12 +42,17 @@ PRIVATE_KEY = (
     rf"-----BEGIN {KEY_EDGE}(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END {KEY_EDGE}"
     rf"|(?:{KEY_LINE}++[A-Z][A-Za-z-]+: [^\n\\]*+)*+(?:{KEY_LINE}++[A-Za-z0-9+/]{{40,}}+={{0,2}})++(?:{KEY_LINE}++[A-Za-z0-9+/]{{1,39}}={{0,2}}(?=[\s\\\"'`]|$))?(?:{KEY_LINE}++=[A-Za-z0-9+/]{{4}})?)?"
 )
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/=-]*[0-9])(?=[0-9_+/=-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])|" + PRIVATE_KEY
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/=-]*[0-9])(?=[0-9_+/=-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])"
 KEY_WORDS = r"token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?secret|signing[_-]?key"
 ASSIGNMENT = (
-    rf"(?i)(?:{KEY_WORDS})(?:[_-](?:key|token|value))?[\"'`\]]{{0,2}}[ \t]{{0,3}}(?::=|=>|==?|:)[ \t]{{0,3}}[\"'`]?"
+    rf"((?i:{KEY_WORDS})(?i:[_-](?:key|token|value))?[\"'`\]]{{0,2}}[ \t]{{0,3}}(?::=|=>|==?|:)[ \t]{{0,3}}[\"'`]?)(?!-----BEGIN )"
     r"((?<=\")[^\"\n]{6,}(?=\")|(?<=')[^'\n]{6,}(?=')|(?<=`)[^`\n]{6,}(?=`)|[^\s\"'`,;]{5,}[^\s\"'`,;.)\]}>])"
+    r"|(://[^/@\s:\"'`]+:)([^/@\s\"'`]{3,})(?=@)"
 )
+#: Marks around matches. A mark character of the text itself gets the escape behind it, so that no mark arises from text.
+MARK, ESCAPED = "\x01m", "\x01e"
+#: Characters of context that the forest sees before and after a place.
+CONTEXT = (40, 20)
 #: Code, references to variables, and blanked values.
 EXPRESSION = r"^[A-Za-z_.]+[(\[]|^[$%]?[({]|^\$[A-Za-z_]+$|^<.*>?$|^%[a-z]|^[A-Za-z_]+(?:\.[A-Za-z_]+)+|^[*.xX_-]+$|^https?:"
 OTHER_WORDS = r"sha-?[0-9]*|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|integrity|example|sample|dummy|placeholder|isbn|order|invoice|build|version|fingerprint|trace|request|session|image|file"
@@ -61,7 +72,7 @@ DICTIONARY = (
     "task team template test text theme thread time title total track type unit update upload user utils value version video view visible web width window word work write year"
 ).split()
 
-FEATURES = ("len", "runs", "run_share", "digits", "uppers", "hexonly", "cover", "spread", "keynear", "keyword", "assigned", "quoted", "other", "prefix", "filler", "testpath", "symbols", "letters", "spaces", "expression", "password")
+FEATURES = ("len", "runs", "run_share", "digits", "uppers", "hexonly", "cover", "spread", "keynear", "keyword", "assigned", "quoted", "other", "prefix", "filler", "testpath", "symbols", "letters", "spaces", "expression", "password", "url", "tight")
 
 
 def feature_sql(c: str, before: str, after: str, source: str) -> str:
@@ -90,6 +101,8 @@ def feature_sql(c: str, before: str, after: str, source: str) -> str:
         "spaces": f"length(regexp_replace({c}, '[^ ]', '')) / CAST(length({c}) AS DOUBLE)",
         "expression": test(c, EXPRESSION),
         "password": test(before, r"(?i)(?:passw(?:or)?d|passwd|pwd)[^A-Za-z0-9]{0,8}$"),
+        "tight": test(before, "[A-Za-z0-9_]=[\"'`]?$"),
+        "url": test(before, "://[^/@\\s:]+:$"),
         "testpath": f"CAST(coalesce({source}, '') RLIKE {quoted(PATHS)} AS DOUBLE)",
     }
     return "named_struct(" + ", ".join(f"'{k}', {values[k]}" for k in FEATURES) + ")"
@@ -157,8 +170,13 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[dict]:
                 before += rng.choice(("", "integrity ", "rev "))
             if kind in (0, 2, 3):
                 after = quote + after
-        out.append({"c": c, "before": before[-40:], "after": after[:20], "source": path, "y": int(good)})
-    return out + assigned_values(n // 2, seed)
+        out.append({"c": c, "before": before[-CONTEXT[0] :], "after": after[: CONTEXT[1]], "source": path, "y": int(good)})
+    return out + assigned_values(n // 2, seed) + url_passwords(n // 6, seed)
+
+
+def in_digits(rng: random.Random, word: str) -> str:
+    """A word with some letters written as the digits and signs that look like them."""
+    return "".join({"a": "@", "o": "0", "e": "3", "i": "1", "s": "5"}.get(x, x) if rng.random() < 0.5 else x for x in word)
 
 
 def assigned_values(n: int, seed: int) -> list[dict]:
@@ -168,7 +186,7 @@ def assigned_values(n: int, seed: int) -> list[dict]:
     chars = lambda s, k: "".join(rng.choices(s, k=k))
     word = lambda: rng.choice(DICTIONARY)
     coined = lambda: "".join(rng.choices("an be er sun shi ne mon key ra dor tro ub win ter hun pas dra gon ou ti".split(), k=rng.randint(3, 5)))
-    leet = lambda w: "".join({"a": "@", "o": "0", "e": "3", "i": "1", "s": "5"}.get(x, x) if rng.random() < 0.5 else x for x in w)
+    leet = lambda w: in_digits(rng, w)
     names = "password passwd pwd db_password PASSWORD secret token api_key auth client_secret DB_PWD user_password".split()
     out = []
     for i in range(n):
@@ -176,7 +194,7 @@ def assigned_values(n: int, seed: int) -> list[dict]:
         mark = rng.choice((" = ", "=", ": ", ":", " := "))
         key = rng.choice(names)
         if good:
-            kind = rng.randrange(5)
+            kind = rng.randrange(6)  # the last two of letters only
             if kind == 0:
                 c = leet(rng.choice((word, coined))()).capitalize() + chars(marks, rng.randint(0, 2)) + chars("0123456789", rng.randint(1, 4))
             elif kind == 1:
@@ -186,8 +204,9 @@ def assigned_values(n: int, seed: int) -> list[dict]:
             elif kind == 3:
                 c = rng.choice((word, coined))() + chars("0123456789", rng.randint(1, 4))
             else:  # letters only: without quotes these are words of prose, but for passwords right after an equals sign
-                c = rng.choice((coined(), coined().capitalize(), word() + word(), chars(alnum[:52], rng.randint(8, 15))))
-                key = rng.choice([x for x in names if "p" in x.lower()[-8:] and "api" not in x])
+                phrase = rng.choice(("", "", "-", "_")).join(rng.choice((word, coined))() for _ in range(rng.randint(3, 4)))
+                c = rng.choice((coined(), coined().capitalize(), word() + word(), chars(alnum[:52], rng.randint(8, 15)), phrase))
+                key = rng.choice([x for x in names if "p" in x.lower()[-8:] and "api" not in x] + ["secret", "client_secret"])
                 quote, mark = rng.choice((('"', mark), ("'", mark), ("", "=")))
             if len(c) < 6:
                 c += chars(alnum[52:], 6 - len(c))
@@ -212,57 +231,145 @@ def assigned_values(n: int, seed: int) -> list[dict]:
     return out
 
 
+def url_passwords(n: int, seed: int) -> list[dict]:
+    """Passwords of URLs, and references and placeholders in their place."""
+    rng = random.Random(seed + 2)
+    alnum, marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "!#$%^&*+-_=.~"
+    chars = lambda s, k: "".join(rng.choices(s, k=k))
+    coined = lambda: "".join(rng.choices("an be er sun shi ne mon key ra dor tro ub win ter hun pas dra gon ou ti".split(), k=rng.randint(2, 5)))
+    out = []
+    for i in range(n):
+        good = i % 2 == 0
+        if good:
+            c = rng.choice((lambda: coined() + chars(alnum[52:], rng.randint(1, 4)), lambda: chars(alnum + marks, rng.randint(6, 20)), lambda: in_digits(rng, rng.choice((coined(), rng.choice(DICTIONARY)))).capitalize() + chars(alnum[52:], rng.randint(0, 3)), lambda: coined(), lambda: chars(alnum, rng.randint(5, 40))))()
+        else:
+            c = rng.choice(("${" + chars(alnum[:26], rng.randint(2, 12)) + "}", "${" + rng.choice(DICTIONARY).upper() + "}", "$" + chars(alnum[:26], rng.randint(3, 9)), "$PASSWORD", "<password>", "{password}", "password", "pass", "xxxx", "****", "xxxxxxxx", "%s", "your_password", "changeme", "{{" + rng.choice(DICTIONARY) + "}}", "example"))
+        scheme = rng.choice("postgres postgresql mysql mongodb redis amqp https http ftp ssh".split())
+        before = rng.choice(("", "url = ", "DATABASE_URL=", "see ", '"', "connect to ")) + f"{scheme}://" + rng.choice((coined(), "root", "admin", "user", rng.choice(DICTIONARY))) + ":"
+        after = "@" + rng.choice(("localhost", "db.internal", "10.0.0.5", "host")) + rng.choice(("/", ":5432/", " ", ""))
+        out.append({"c": c, "before": before[-CONTEXT[0] :], "after": after[: CONTEXT[1]], "source": rng.choice(("src", "config/app.yml", "src3", "src12", "src7")), "y": int(good)})
+    return out
+
+
 @lru_cache(2)
-def _forest_sql(app: str, seed: int) -> str:
+def _forest(app: str, seed: int) -> list:
     spark = SparkSession.getActiveSession()
     rows = labelled_findings(seed=seed)
     kinds = "array<struct<c string, before string, after string, source string, y int>>"
     table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kinds)).alias("r")).select("r.*")
-    made = table.select(F.expr(feature_sql("c", "before", "after", "source")).alias("f"), "y").collect()  # FINDINGS rows
+    made = table.select(F.expr(feature_sql("c", "before", "after", "source")).alias("f"), "y").collect()  # the labelled findings
     x = np.array([[r.f[k] for k in FEATURES] for r in made], float)
-    grown = trees.forest(x, np.array([r.y for r in made]), trees=31, depth=8)
-    names = [f"f.{k}" for k in FEATURES]
-    return "(" + " + ".join(trees.sql(t, names) for t in grown) + f") / {len(grown)}D"
+    return trees.forest(x, np.array([r.y for r in made]), trees=31, depth=8)
+
+
+def forest(spark: SparkSession, seed: int = 11) -> list:
+    """The trees, trained once per application."""
+    return _forest(spark.sparkContext.applicationId, seed)
 
 
 def forest_sql(spark: SparkSession, seed: int = 11) -> str:
-    """The forest's vote over a struct ``f`` of features, as SQL; trained once per application."""
-    return _forest_sql(spark.sparkContext.applicationId, seed)
+    """The forest's vote over a struct ``f`` of features, as SQL."""
+    grown, names = forest(spark, seed), [f"f.{k}" for k in FEATURES]
+    return "(" + " + ".join(trees.sql(t, names) for t in grown) + f") / {len(grown)}D"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to a value that is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def scan(docs: DataFrame, text: str = "text", source: str = "source", into: str = "secret_scan") -> DataFrame:
+#: The kinds of candidates: what a text must hold, pattern, and replacement that puts marks around the value.
+KINDS = (
+    ("LIKE '%PRIVATE KEY%'", PRIVATE_KEY, f"{MARK}$0{MARK}"),
+    (f"RLIKE {quoted('(?i)(?:' + KEY_WORDS + ')|://')}", ASSIGNMENT, f"$1$3{MARK}$2$4{MARK}"),
+    (f"RLIKE {quoted(RUN)}", CANDIDATE, f"{MARK}$0{MARK}"),
+)
+
+
+def escaped(t: str) -> str:
+    return f"replace({t}, '\x01', '{ESCAPED}')"
+
+
+def plain(t: str) -> str:
+    return f"replace({t}, '{ESCAPED}', '\x01')"
+
+
+def pieces(t: str, kind: int) -> str:
+    """Escaped text cut at the values of a kind: text, value, text, value, ..., text."""
+    needs, pattern, marked = KINDS[kind]
+    return f"IF({t} {needs}, split(regexp_replace({t}, {quoted(pattern)}, {quoted(marked)}), '{MARK}', -1), array({t}))"
+
+
+def places(t: str, kind: int, context: tuple[int, int]) -> str:
+    """Array of value, text before and text after, for each place of a kind in escaped text.
+
+    Neighbours come from the pieces beside a value; values and what assigns them have eight characters
+    or more, so as many pieces as make the context are joined.
+    """
+    before, after = context
+    back, on = 2 * (before // 8 + 1), 2 * (after // 8 + 1)
+    tails = ", ".join(f"coalesce(get(tails, i - {k}), '')" for k in range(back, 0, -1))
+    heads = ", ".join(f"coalesce(get(heads, i + {k}), '')" for k in range(1, on + 1))
+    place = f"named_struct('c', {plain('c')}, 'before', {plain(f'right(concat({tails}), {before})')}, 'after', {plain(f'left(concat({heads}), {after})')}, 'mine', i % 2 = 1)"
+    cut = let(f"transform(p, x -> right(x, {before}))", "tails", let(f"transform(p, x -> left(x, {after}))", "heads", f"filter(transform(p, (c, i) -> IF(i % 2 = 1, {place}, NULL)), x -> x.mine)"))
+    found = let(pieces(t, kind), "p", f"IF(size(p) > 1, {cut}, array())")
+    if kind == 1:  # a value that is a run as well comes from there
+        found = f"filter({found}, x -> NOT (x.c RLIKE {quoted('^(?:' + CANDIDATE + ')$')}))"
+    return found
+
+
+def scan(docs: DataFrame, text: str = "text", source: str = "source", into: str = "secret_scan", context: tuple[int, int] = CONTEXT) -> DataFrame:
     """Adds ``into``: a struct of ``candidates`` (distinct count) and ``found`` (array of value, places, score).
 
-    A value is found if at some place it stands the forest's vote reaches the threshold; ``places``
-    counts those. Null or empty text: no candidates. Any columns may be there; only ``into`` is added.
+    A value is found if at some place where its pattern matches, the forest's vote reaches the
+    threshold; ``places`` counts those, ``score`` is the greatest vote, and values rise. Null or
+    empty text: no candidates. Repeated rows are each scanned. Empty table: no rows. Any columns may be there; only ``into`` is added.
     """
-    forest = forest_sql(docs.sparkSession)
-    t, s = f"`{text}`", f"`{source}`" if source in docs.columns else "''"
-    edge, tail = quoted("[A-Za-z0-9_+/-]"), quoted("[A-Za-z0-9_+/=-]")
-    candidates = f"CASE WHEN {t} RLIKE {quoted(RUN)} OR {t} LIKE '%PRIVATE KEY%' THEN array_distinct(regexp_extract_all({t}, {quoted(CANDIDATE)}, 0)) ELSE array() END"
-    values = f"CASE WHEN {t} RLIKE {quoted('(?i)(?:' + KEY_WORDS + ')')} THEN regexp_extract_all({t}, {quoted(ASSIGNMENT)}, 1) ELSE array() END"
-    candidates = f"array_distinct(concat({candidates}, {values}))"
-    pieces = f"split({t}, concat('\\\\Q', replace(c, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E'), -1)"
-    around = f"transform(slice(p, 2, greatest(size(p) - 1, 0)), (after, i) -> named_struct('before', right(p[i], 40), 'after', left(after, 20)))"
-    whole = f"filter(transform(array({pieces}), p -> {around})[0], w -> NOT (right(w.before, 1) RLIKE {edge}) AND NOT (left(w.after, 1) RLIKE {tail}))"
-    scores = f"transform(transform({whole}, w -> {feature_sql('c', 'w.before', 'w.after', s)}), f -> {forest})"
-    judged = f"transform(cs, c -> named_struct('value', c, 'scores', filter({scores}, v -> v >= {THRESHOLD}D)))"
-    found = f"transform(filter({judged}, x -> size(x.scores) > 0), x -> named_struct('value', x.value, 'places', size(x.scores), 'score', array_max(x.scores)))"
-    both = f"transform(array({candidates}), cs -> named_struct('candidates', size(cs), 'found', CASE WHEN size(cs) > 0 THEN {found} ELSE array() END))[0]"
-    return docs.withColumn(into, F.expr(both))
-
-
-def redact(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """Every found value in the text replaced by a mask, short ones as whole words only; other columns and the order of columns stay."""
-    scanned = scan(docs, text, source, "__scan")
-    part = "concat('(?<![A-Za-z0-9])\\\\Q', replace(x.value, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E(?![A-Za-z0-9])')"
-    step = f"IF(length(x.value) < 16, regexp_replace(t, {part}, '{MASK}'), replace(t, x.value, '{MASK}'))"
-    masked = F.expr(f"CASE WHEN size(__scan.found) > 0 THEN aggregate(array_sort(__scan.found, (a, b) -> length(b.value) - length(a.value)), `{text}`, (t, x) -> {step}) ELSE `{text}` END")
-    return scanned.withColumn(text, masked).drop("__scan")
+    votes = forest_sql(docs.sparkSession)
+    s = f"`{source}`" if source in docs.columns else "CAST(NULL AS STRING)"
+    rest = f"array_join(transform(p0, (x, i) -> IF(i % 2 = 1, ' ', x)), '')"  # runs and assignments outside of private keys
+    gathered = let(pieces("t", 0), "p0", let(f"IF(size(p0) > 1, {rest}, t)", "u", f"concat({places('t', 0, context)}, {places('u', 1, context)}, {places('u', 2, context)})"))
+    score = let(feature_sql("w.c", "w.before", "w.after", "s"), "f", votes)
+    sure = f"array_sort(filter(transform(ws, w -> named_struct('value', w.c, 'score', {score})), x -> x.score >= {THRESHOLD}D))"
+    # equal values stand together, the least score first: each value's last place has its score, and places are differences of ends
+    ends = "filter(transform(xs, (x, i) -> named_struct('value', x.value, 'at', i + 1, 'score', x.score)), x -> x.at = size(xs) OR xs[x.at].value <> x.value)"
+    found = let(sure, "xs", let(ends, "es", "transform(es, (e, i) -> named_struct('value', e.value, 'places', e.at - IF(i > 0, es[i - 1].at, 0), 'score', e.score))"))
+    both = let(gathered, "ws", f"named_struct('candidates', size(array_distinct(transform(ws, w -> w.c))), 'found', {found})")
+    whole = let(f"named_struct('t', coalesce({escaped(f'`{text}`')}, ''), 's', {s})", "d", let("d.t", "t", let("d.s", "s", both)))
+    return docs.withColumn(into, F.expr(whole))
+
+
+#: What parts words for masking: white space, quotes, and marks that end values.
+PARTED = r"(?<=[\s\"'`,;()<>\[\]{}])|(?=[\s\"'`,;()<>\[\]{}])"
+
+
+def redact(docs: DataFrame, text: str = "text", source: str = "source", context: tuple[int, int] = CONTEXT) -> DataFrame:
+    """Every found value in the text replaced by a mask; other columns and the order of columns stay.
+
+    A value is masked wherever a pattern of candidates matches it, and wherever it stands as a word.
+    Null text stays null; text without findings stays as it is; repeated rows are each masked.
+    """
+    into = fresh(docs.columns, "secret_scan")[0]
+    scanned = scan(docs, text, source, into, context)
+    # binary search in the sorted values, so that masking many values takes no pass for each
+    step = "IF(a.lo < a.hi, IF(vs[(a.lo + a.hi) DIV 2] < {v}, named_struct('lo', CAST((a.lo + a.hi) DIV 2 + 1 AS INT), 'hi', a.hi), named_struct('lo', a.lo, 'hi', CAST((a.lo + a.hi) DIV 2 AS INT))), a)"
+    at = f"aggregate(sequence(0, CAST(log2(size(vs)) AS INT) + 1), named_struct('lo', 0, 'hi', size(vs)), (a, k) -> {step.format(v='v')}, a -> a.lo)"
+    is_found = lambda v: let(v, "v", f"coalesce(get(vs, {at}) = v, false)")
+    mask = lambda p, odd: f"array_join(transform({p}, (x, i) -> IF({odd} AND {is_found('x')}, '{MASK}', x)), '')"
+    out = "t"
+    for kind in (0, 1, 2):
+        out = let(out, f"t{kind}", mask(pieces(f"t{kind}", kind), "i % 2 = 1"))
+    out = let(out, "t3", mask(f"split(t3, {quoted(PARTED)}, -1)", "length(x) > 3"))
+    values = f"array_sort(transform(d.found, x -> {escaped('x.value')}))"
+    masked = let(f"named_struct('t', {escaped(f'`{text}`')}, 'found', `{into}`.found)", "d", let("d.t", "t", let(values, "vs", plain(out))))
+    return scanned.withColumn(text, F.expr(f"CASE WHEN size(`{into}`.found) > 0 THEN {masked} ELSE `{text}` END")).drop(into)
 
 
 def secret_report(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """Per row: ``key``, candidates, distinct secrets, places, greatest score, sha256 of the sorted values."""
+    """Per row: ``key``, candidates, distinct secrets, places, greatest score, sha256 of the sorted values.
+
+    Nulls, ties, repeated rows and the empty table as in ``scan``; other columns are ignored, whatever their names.
+    """
     found = F.col("secret_scan.found")
     return scan(docs.select(key, text, *([source] if source in docs.columns else [])), text, source).select(
         key,
