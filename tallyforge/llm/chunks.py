@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import release, shuffle_partitions
-from tallyforge.llm.dac import order_buckets, streamed
+from tallyforge.llm.dac import hash_share, key_ranges, streamed
 
 LEAST, NORMAL, GREATEST = 16, 40, 160
 #: Top bits that must be clear before and after the normal size.
@@ -112,44 +112,59 @@ def edited(text: str, following: str) -> str:
 MOST_CUTS = 512
 
 
-def range_column(docs: DataFrame, column: str, key: str, wanted: int):
-    """Number of the key range of ``column``, about ``wanted`` ranges of like row counts, rising with the key.
+def range_column(docs: DataFrame, column: str, key: str, wanted: int, text: str = "text"):
+    """Number of the range of a row, about ``wanted`` ranges of like row counts, rising with the key; null keys come first.
+
+    Also tells whether any key, or null, was divided.
 
     Reads the key column only. Up to ``MOST_CUTS`` quantiles make a search tree in generated code;
-    beyond, each is divided into equal steps of the key.
+    beyond, each is divided into equal steps of the key. A key with several ranges' rows, and null,
+    are divided by a hash of ``text``.
     """
-    cuts = order_buckets(docs, key, min(wanted, MOST_CUTS))
-    coarse = bucket_column(column, cuts)
+    found = key_ranges(docs, key, min(wanted, MOST_CUTS))
     steps = -(-wanted // MOST_CUTS)
-    if steps == 1 or not cuts:
-        return coarse
-    least, most = docs.agg(F.min(key), F.max(key)).first()
-    lows, highs = F.array(*map(F.lit, [least, *cuts])), F.array(*map(F.lit, [*cuts, most + 1]))
-    low, high = F.get(lows, coarse).cast("double"), F.get(highs, coarse).cast("double")
-    step = F.floor((F.col(column).cast("double") - low) * steps / F.greatest(high - low, F.lit(1.0)))
-    return coarse * steps + F.greatest(F.lit(0), F.least(F.lit(steps - 1), step)).cast("int")
+    nulls, widths = max(1, found.nulls * steps), [w * steps for w in found.widths]
+    coarse = bucket_column(column, found.cuts)
+    part = lambda share, n: F.greatest(F.lit(0), F.least(n - 1, F.floor(share * n).cast("int")))
+    starts = F.array(*(F.lit(nulls + sum(widths[:i])) for i in range(len(widths))))
+    within = F.lit(0)
+    if steps > 1 and found.cuts:
+        least, most = docs.agg(F.min(key), F.max(key)).first()
+        lows, highs = F.array(*map(F.lit, [least, *found.cuts])), F.array(*map(F.lit, [*found.cuts, most]))
+        low, high = F.get(lows, coarse).cast("double"), F.get(highs, coarse).cast("double")
+        within = part((F.col(column).cast("double") - low) / F.greatest(high - low, F.lit(1.0)), F.lit(steps))
+    if max(found.widths) > 1:
+        wide = F.get(F.array(*map(F.lit, found.widths)), coarse)
+        within = F.when(wide > 1, part(hash_share(F.col(text)), wide * steps)).otherwise(within)
+    own = F.get(starts, coarse) + within
+    none = part(hash_share(F.col(text)), F.lit(nulls)) if nulls > 1 else F.lit(0)
+    return F.when(F.col(key).isNull(), none).otherwise(own).cast("int"), nulls > 1 or max(found.widths) > 1
 
 
 def with_following(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
     """Rows dealt into key ranges, highest first, and beside each range a copy of the row that follows it.
 
-    One shuffle of the texts. One key per range passes through the driver and comes back as a
+    One shuffle of the texts. One key and hash per range pass through the driver and come back as a
     broadcast of that many rows.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(key), F.lit(lowest)).alias("at"), F.col(key).alias("key"), F.col(text).alias("text"))
-    range_of = range_column(docs.where(F.col(key).isNotNull()), "at", key, 4 * parts)
-    tops = sorted((-r["r"], r["top"]) for r in rows.select("at", range_of.alias("r")).groupBy("r").agg(F.max("at").alias("top")).collect())
+    range_of, divided = range_column(rows, "at", "key", 4 * parts)
+    # texts are hashed, and so read twice, only where a key has several ranges
+    order = F.xxhash64(F.coalesce("text", F.lit(""))) if divided else F.lit(0).cast("bigint")
+    place = F.struct("at", order.alias("h"))
+    tops = sorted((-r["r"], tuple(r["top"])) for r in rows.select(range_of.alias("r"), place.alias("top")).groupBy("r").agg(F.max("top").alias("top")).collect())
     # each range is followed by the top of the next lower one, the last by the first
-    follows: dict[int, list[int]] = {}
+    follows: dict[tuple[int, int], list[int]] = {}
     for (r, _), (_, top) in zip(tops, tops[1:] + tops[:1]):
         follows.setdefault(top, []).append(-r)
-    copies = spark.createDataFrame(list(follows.items()), "top bigint, more array<int>")
-    own = F.array(F.struct(range_of.cast("int").alias("r"), F.lit(False).alias("copy")))
+    copies = spark.createDataFrame([(*top, more) for top, more in follows.items()], "top_at bigint, top_h bigint, more array<int>")
+    own = F.array(F.struct(range_of.alias("r"), F.lit(False).alias("copy")))
     more = F.transform(F.coalesce("more", F.array().cast("array<int>")), lambda r: F.struct(r.alias("r"), F.lit(True).alias("copy")))
-    dealt = rows.join(F.broadcast(copies), F.col("at") == F.col("top"), "left").withColumn("to", F.explode(F.concat(own, more)))
+    first = (F.col("at") == F.col("top_at")) & (order == F.col("top_h"))
+    dealt = rows.join(F.broadcast(copies), first, "left").withColumn("to", F.explode(F.concat(own, more)))
     return dealt.select("to.r", "to.copy", "at", "key", "text"), parts
 
 
@@ -169,11 +184,12 @@ def document_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_i
     """Fingerprint of each text and of its edited text, and likenesses to that and to the next document.
 
     The next document is the one with the next smaller key, after the smallest the largest. Null
-    text counts as empty; null keys come last; rows of one key follow each other by text. A single
-    row is its own next document. Empty table: no rows.
+    text counts as empty; null keys come last; rows of one key follow each other by a falling hash of
+    their text, then by text. Repeated rows come out repeated. A single row is its own next document.
+    Texts of any length; other columns are ignored, whatever their names. Empty table: no rows.
     """
     rows, parts = with_following(docs, text, key)
-    rows = rows.repartition(parts, "r").sortWithinPartitions("r", "copy", F.desc("at"), F.coalesce("text", F.lit("")))
+    rows = rows.repartitionById(parts, "r").sortWithinPartitions("r", "copy", F.desc("at"), F.xxhash64(F.coalesce("text", F.lit(""))).desc(), F.coalesce("text", F.lit("")))
 
     def make():
         release()

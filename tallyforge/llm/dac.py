@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe import encoder
@@ -144,32 +146,59 @@ class Shard:
         return out
 
 
-def order_buckets(docs: DataFrame, key: str, buckets: int) -> list[int]:
-    """Upper bounds (exclusive) that cut the keys into about equal runs; reads the key column only."""
-    cuts = docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
-    return sorted({int(c) + 1 for c in cuts})
+class Ranges(NamedTuple):
+    """Key ranges: upper bounds (exclusive), the hash ranges each is divided into, and those of null keys (0: there are none)."""
+
+    cuts: list[int]
+    widths: list[int]
+    nulls: int
+
+
+def key_ranges(docs: DataFrame, key: str, wanted: int) -> Ranges:
+    """About ``wanted`` ranges of like row counts; reads the key column only.
+
+    A key that holds several ranges' rows is a range of its own and is divided by a hash of the text,
+    and so are null keys, so neither meets in one task.
+    """
+    cuts = docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / wanted for i in range(1, wanted)], 0.2 / wanted)
+    held = Counter(map(int, cuts))
+    bounds = sorted({min(x, (1 << 63) - 1) for c, n in held.items() for x in ((c, c + 1) if n > 1 else (c + 1,))})
+    widths = [held[z - 1] if held[z - 1] > 1 and a == z - 1 else 1 for a, z in zip([None, *bounds], bounds)] + [1]
+    rows, known = docs.agg(F.count("*"), F.count(key)).first()
+    return Ranges(bounds, widths, -(-wanted * (rows - known) // max(1, rows)))
+
+
+def hash_share(text: Column) -> Column:
+    """A hash of the text as a number from 0 to 1."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))).cast("double") / F.lit(float(1 << 64)) + 0.5
 
 
 def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 1, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
     """Encode, order by key and write the shards; returns the shard table and each bucket's first position.
 
     Null text: only the end id. Null keys come last, after all others; rows of one key stay together
-    (their order among each other is by ids). The driver gets one number per key range.
+    (their order among each other is by ids; where one key or null holds more than a range, by hash
+    ranges of the text first). Repeated rows are written each for itself; texts of any length; other
+    columns are ignored, whatever their names. Empty table: no shards. The driver gets one number per
+    key range.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    cuts = np.array(order_buckets(docs, key, 2 * parts), np.int64)
+    found = key_ranges(docs, key, 2 * parts)
+    cuts, widths = np.array(found.cuts, np.int64), np.array([*found.widths, max(1, found.nulls)])
+    starts = np.concatenate(([0], np.cumsum(widths)))
 
     def make():
         bpe = encoder(path, streaming=True)
         end = np.array([end_id], "<u4").tobytes()
 
-        def step(keys, texts):
+        def step(keys, shares, texts):
             packed = bpe.encode_packed([t or "" for t in texts])
+            coarse = [len(cuts) + 1 if k is None else int(np.searchsorted(cuts, k, "right")) for k in keys]
             small = [np.frombuffer(p + end, "<u4") for p in packed]
             return {
-                "bucket": [len(cuts) + 1 if k is None else int(np.searchsorted(cuts, k, "right")) for k in keys],
+                "bucket": [int(starts[c] + min(int(s * widths[c]), widths[c] - 1)) for c, s in zip(coarse, shares)],
                 "key": keys,
                 "wide": [bool((s > 0xFFFF).any()) for s in small],
                 "ids": [(s if (s > 0xFFFF).any() else s.astype("<u2")).tobytes() for s in small],
@@ -177,8 +206,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 1,
 
         return step
 
-    rows = arrow_map(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "bucket int, key bigint, wide boolean, ids binary", make)
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "ids")
+    rows = arrow_map(docs.select(F.col(key).alias("key"), hash_share(F.col(text)).alias("share"), F.col(text).alias("text")), "bucket int, key bigint, wide boolean, ids binary", make)
+    rows = rows.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "key", "ids")
 
     def shards():
         state = {"bucket": None, "first": 0, "keys": [], "ids": [], "n": 0}
@@ -250,7 +279,10 @@ def streamed(df: DataFrame, schema: str, make) -> DataFrame:
 
 
 def read_token_files(table: DataFrame, start: dict[int, int], key: str = "doc_id") -> DataFrame:
-    """Per document of the shards: ``key, start, n_tokens, ids_crc32``."""
+    """Per document of the shards: ``key, start, n_tokens, ids_crc32``.
+
+    Null keys and repeated rows come back as they were written; an empty table of shards: no rows.
+    """
 
     def make():
         def step(buckets, firsts, payloads):
