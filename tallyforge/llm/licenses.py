@@ -5,13 +5,15 @@ around them in their paragraph (the run of non-blank lines; a line of comment ma
 A softmax regression over words and word pairs gives a family, with an unknown class whose bias is
 calibrated on held-back paragraphs; the family stands if the window holds enough of the words of one
 of its templates. SPDX identifiers are looked up, not scored. Weights are trained here on varied copies of the
-templates and on other text, pruned to a sparse table, and looked up in a map literal. Only lines
-with an anchor word (a word without which no family can win) are classified.
+templates and on other text, made sparse by a bound per class, and looked up in a map literal.
+Anchor words are derived from the templates, so that no text without one can be confirmed: lines
+without them need no scores.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 from functools import lru_cache
@@ -40,10 +42,13 @@ TEMPLATES = {
 }
 FAMILIES = sorted(TEMPLATES)
 UNKNOWN = "unknown"
-ANCHOR = r"(?i)\b(?:licen[cs]e[ds]?|unlicense|copyright|redistribut\w*|permission|public domain|all rights reserved|creative commons|proprietary|unencumbered|cc0|spdx\w*)\b"
+#: What makes a line that no family explains an unknown licence.
+MENTION = r"(?i)\b(?:licen[cs]e[ds]?|unlicense|copyright|redistribut\w*|permission|public domain|all rights reserved|creative commons|proprietary|unencumbered|cc0|spdx\w*)\b"
 #: Bound of the training paragraphs, of kept weights per family, and the share of template words that confirms.
 PARAGRAPHS, WEIGHTS, CONFIRM, CERTAIN = 3000, 40, 0.6, 0.5
 WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
+#: Words too frequent to look for, where a template leaves the choice.
+COMMON = frozenset("a all and any are as at be by for form from in is it of or that the this to under use was with without you".split())
 #: Words that windows take before and after an anchored line. The longest template has 27 words.
 AROUND = (0, 16, 32, 48)
 #: SPDX identifiers (small letters) of each family, and a tag with its expression.
@@ -130,16 +135,32 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def anchors() -> list[str]:
+    """Words of which every text that a template can confirm holds at least one.
+
+    A text needs ``CONFIRM`` of a template's words, so it cannot lack as many of them as are listed
+    here for that template; the longest words outside of ``COMMON`` are taken.
+    """
+    out = set()
+    for texts in TEMPLATES.values():
+        for words in (sorted(set(words_of(t)), key=lambda w: (w in COMMON, -len(w), w)) for t in texts):
+            out.update(words[: len(words) - math.ceil(CONFIRM * len(words) - 1e-9) + 1])
+    return sorted(out)
+
+
 def classify(docs: DataFrame, text: str = "text", into: str = "licenses") -> DataFrame:
     """Adds ``into``: array of ``line`` (from 0), ``family``, ``score`` for each confirmed licence notice.
 
     A notice wrapped over several lines of a paragraph comes out once, at its first anchored line; an
-    SPDX tag comes out once for each identifier. ``unknown`` is given to an anchored line in which, and
-    around which, no family is certain and confirmed; plain lines are not listed. A window counts for
-    a line only if the line adds words of the template. Null or empty text: an empty array.
+    SPDX tag comes out once for each identifier. ``unknown`` is given to a line that mentions licences
+    if in it, and around it, no family is certain and confirmed; other lines are not listed. A window
+    counts for a line only if the line adds words of the template. Entries rise by line, those of a
+    line by family. Null or empty text: an empty array; a text of any length is scanned whole;
+    repeated rows are each classified; equal probabilities: the first family by name. Empty table: no
+    rows. Columns of any name stay; only ``into`` is added.
     """
     sparse, bias = weights()
-    t, k = f"`{text}`", len(FAMILIES)
+    k = len(FAMILIES)
     table = "map_from_entries(from_json(" + quoted(json.dumps([{"key": g, "value": v} for g, v in sparse.items()])) + ", 'array<struct<key string, value array<double>>>'))"
     groups = [[sorted(set(words_of(x))) for x in TEMPLATES[f]] for f in FAMILIES]
     templates = "from_json(" + quoted(json.dumps(groups)) + ", 'array<array<array<string>>>')"
@@ -147,20 +168,20 @@ def classify(docs: DataFrame, text: str = "text", into: str = "licenses") -> Dat
     let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
     words = lambda line: f"regexp_extract_all(lower({line}), '[a-z0-9.]*[a-z0-9]', 0)"
     grams = "array_distinct(concat(ws, transform(slice(ws, 1, greatest(size(ws) - 1, 0)), (w, i) -> concat(w, ' ', ws[i + 1]))))"
-    logits = f"aggregate(filter({grams}, g -> map_contains_key(__w, g)), {start}, (a, g) -> zip_with(a, element_at(__w, g), (x, y) -> x + y))"
+    logits = f"aggregate(filter({grams}, g -> map_contains_key(model, g)), {start}, (a, g) -> zip_with(a, element_at(model, g), (x, y) -> x + y))"
     soft = "transform(z, v -> exp(v - array_max(z)) / aggregate(z, 0D, (a, x) -> a + exp(x - array_max(z))))"
     share = lambda ws, of: f"array_max(transform({of}, tpl -> size(array_intersect(tpl, {ws})) / CAST(size(tpl) AS DOUBLE)))"
     names = "array(" + ", ".join(map(quoted, FAMILIES)) + ")"
     # family (k: unknown), score and share of the template of the words ``ws``
     sure = f"best < {k} AND p[best] >= {CERTAIN}D AND like >= {CONFIRM}D"
     verdict = f"named_struct('family', IF({sure}, best, {k}), 'score', round(array_max(p), 6), 'like', IF({sure}, like, 0D))"
-    like = f"IF(best < {k}, {share('ws', '__t[best]')}, 0D)"
+    like = f"IF(best < {k}, {share('ws', 'known[best]')}, 0D)"
     score = let(logits, "z", let(soft, "p", let("CAST(array_position(p, array_max(p)) - 1 AS INT)", "best", let(like, "like", verdict))))
 
     # the words before and after line n in its paragraph, the nearest first and last
     most = AROUND[-1]
-    blank = "NOT (y RLIKE '[\\\\p{L}\\\\p{N}]')"
-    run = lambda near: let(near, "ls", let(f"CAST(array_position(transform(ls, y -> {blank}), true) AS INT)", "e", "IF(e = 0, ls, slice(ls, 1, e - 1))"))
+    blank = lambda y: f"NOT ({y} RLIKE '[\\\\p{{L}}\\\\p{{N}}]')"
+    run = lambda near: let(near, "ls", let(f"CAST(array_position(transform(ls, y -> {blank('y')}), true) AS INT)", "e", "IF(e = 0, ls, slice(ls, 1, e - 1))"))
     earlier = f"flatten(transform(reverse({run(f'reverse(slice(lines, greatest(n - {most}, 0) + 1, least(n, {most})))')}), y -> {words('y')}))"
     later = f"flatten(transform({run(f'slice(lines, n + 2, {most})')}, y -> {words('y')}))"
     pairs = "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x in AROUND for y in AROUND if x + y) + ")"
@@ -168,33 +189,45 @@ def classify(docs: DataFrame, text: str = "text", into: str = "licenses") -> Dat
     windows = f"filter(array_distinct(transform({pairs}, q -> {cut})), v -> size(v.b) + size(v.a) > 0)"
     # a window stands if the line adds to it, and it holds more of the template than the line alone
     gain = "named_struct('like', IF(r.like > without, r.like, 0D), 'short', -size(ws), 'score', r.score, 'family', r.family)"
-    without = f"IF(r.family < {k}, {share('rest', '__t[r.family]')}, 1D)"
+    without = f"IF(r.family < {k}, {share('rest', 'known[r.family]')}, 1D)"
     judged = let("concat(v.b, own, v.a)", "ws", let(score, "r", let("concat(v.b, v.a)", "rest", let(without, "without", gain))))
     scored = f"transform({windows}, v -> {judged})"
-    most_like = let("concat(b, own, a)", "ws", share("ws", "flatten(__t)"))
+    most_like = let("concat(b, own, a)", "ws", share("ws", "flatten(known)"))
     wide = f"IF({most_like} >= {CONFIRM}D AND {most_like} > alone.like, array_max({scored}), NULL)"
     plain = "named_struct('family', alone.family, 'score', alone.score, 'wide', false)"
     chosen = let(wide, "w", f"IF(w.like > alone.like, named_struct('family', w.family, 'score', w.score, 'wide', true), {plain})")
     around = let(earlier, "b", let(later, "a", chosen))
     one = let(words("line"), "own", let(let("own", "ws", score), "alone", f"IF(alone.like >= 1D, {plain}, {around})"))
 
-    known = "CASE " + " ".join(f"WHEN id RLIKE {quoted('^(?:' + SPDX[f] + ')$')} THEN {i}" for i, f in enumerate(FAMILIES)) + f" ELSE {k} END"
+    spdx = "CASE " + " ".join(f"WHEN id RLIKE {quoted('^(?:' + SPDX[f] + ')$')} THEN {i}" for i, f in enumerate(FAMILIES)) + f" ELSE {k} END"
     expression = f"regexp_replace(regexp_extract(line, {quoted(SPDX_TAG)}, 1), {quoted(r'(?i)\s+WITH\s+' + SPDX_ID)}, '')"
     ids = f"filter(regexp_extract_all(lower({expression}), {quoted(SPDX_ID)}, 0), id -> id NOT IN ('and', 'or'))"
-    tagged = f"transform(array_distinct(transform({ids}, id -> {known})), f -> named_struct('family', f, 'score', 1D, 'wide', false))"
-    paragraph = "IF(r.wide, size(filter(slice(lines, 1, n + 1), y -> " + blank + ")), -1)"
-    each = f"transform(IF(line RLIKE {quoted(SPDX_TAG)}, {tagged}, array({one})), r -> named_struct('line', n, 'family', r.family, 'score', r.score, 'paragraph', {paragraph}))"
-    anchored = f"filter(transform(lines, (line, n) -> named_struct('line', line, 'n', n)), x -> x.line RLIKE {quoted(ANCHOR)})"
-    found = f"flatten(transform({anchored}, x -> {let('x.line', 'line', let('x.n', 'n', each))}))"
-    single = "filter(all, (x, i) -> x.paragraph < 0 OR NOT exists(slice(all, 1, i), y -> y.paragraph = x.paragraph AND y.family = x.family))"
+    tagged = f"transform(array_distinct(transform({ids}, id -> {spdx})), f -> named_struct('family', f, 'score', 1D, 'wide', false))"
+    each = f"transform(IF(line RLIKE {quoted(SPDX_TAG)}, {tagged}, array({one})), r -> named_struct('line', n, 'family', r.family, 'score', r.score, 'wide', r.wide))"
+    pattern = quoted(r"(?<![a-z0-9.])(?:" + "|".join(re.escape(w) for w in anchors()) + r")(?![a-z0-9])")
+    anchored = f"filter(transform(lines, (line, n) -> named_struct('line', line, 'n', n)), x -> lower(x.line) RLIKE {pattern} OR x.line RLIKE {quoted(MENTION)})"
+    found = f"flatten(transform({anchored}, x -> filter({let('x.line', 'line', let('x.n', 'n', each))}, r -> r.family < {k} OR x.line RLIKE {quoted(MENTION)})))"
+    # of the windows that found one family in one paragraph the first stays; paragraphs are numbered by a search among blank lines
+    blanks = f"filter(transform(lines, (y, n) -> IF({blank('y')}, n, -1)), n -> n >= 0)"
+    half = "(a.lo + a.hi) DIV 2"
+    step = f"IF(a.lo < a.hi, IF(bs[{half}] < x.line, named_struct('lo', CAST({half} + 1 AS INT), 'hi', a.hi), named_struct('lo', a.lo, 'hi', CAST({half} AS INT))), a)"
+    paragraph = f"aggregate(sequence(0, CAST(log2(size(bs) + 1) AS INT) + 1), named_struct('lo', 0, 'hi', size(bs)), (a, i) -> {step}, a -> a.lo)"
+    wides = f"array_sort(transform(filter(all, x -> x.wide), x -> named_struct('paragraph', {paragraph}, 'family', x.family, 'line', x.line, 'score', x.score)))"
+    firsts = "filter(wides, (x, i) -> i = 0 OR wides[i - 1].paragraph <> x.paragraph OR wides[i - 1].family <> x.family)"
+    bare = lambda x: f"transform({x}, x -> named_struct('line', x.line, 'family', x.family, 'score', x.score))"
+    single = let(blanks, "bs", let(wides, "wides", f"array_sort(concat({bare('filter(all, x -> NOT x.wide)')}, {bare(firsts)}))"))
     named = f"transform({single}, x -> named_struct('line', x.line, 'family', IF(x.family < {k}, {names}[x.family], '{UNKNOWN}'), 'score', x.score))"
-    whole = let(f"split({t}, '\\\\n')", "lines", let(found, "all", named))
-    out = docs.withColumn("__w", F.expr(table)).withColumn("__t", F.expr(templates))
-    return out.withColumn(into, F.expr(f"CASE WHEN {t} RLIKE {quoted(ANCHOR)} THEN {whole} ELSE array() END")).drop("__w", "__t")
+    whole = let("split(t, '\\\\n')", "lines", let(found, "all", named))
+    any_line = f"lower(t) RLIKE {pattern} OR t RLIKE {quoted(MENTION)}"
+    bound = let(f"coalesce(`{text}`, '')", "t", f"IF({any_line}, {let(table, 'model', let(templates, 'known', whole))}, array())")
+    return docs.withColumn(into, F.expr(bound))
 
 
 def license_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: ``key``, licence paragraphs, sorted families joined by ``|``, anchored but unknown ones, top score."""
+    """Per row: ``key``, licence paragraphs, sorted families joined by ``|``, unknown mentions, top score.
+
+    Nulls, ties, repeated rows, long texts and the empty table as in ``classify``; other columns are ignored, whatever their names.
+    """
     found = F.col("licenses")
     known = F.filter(found, lambda x: x["family"] != UNKNOWN)
     return classify(docs.select(key, text), text).select(
