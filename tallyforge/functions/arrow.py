@@ -1,4 +1,4 @@
-"""The functions that need Python, as Arrow batches: similarity ratio, exact rounding, case folding, nested redaction."""
+"""The functions that need Python, as Arrow batches: similarity ratio, exact rounding, nested redaction."""
 
 import difflib
 import json
@@ -26,33 +26,15 @@ def py_round(c: Column, digits: int) -> Column:
     return F.pandas_udf(exact, "double")(c)
 
 
-def casefold(c: Column) -> Column:
-    """Full case folding, for texts where it differs from lower case."""
-    return F.pandas_udf(_casefold, "string")(c)
-
-
-def _casefold(x: pd.Series) -> pd.Series:
-    return x.str.casefold()
-
-
-def redact_json(c: Column, secret: tuple[str, ...] | None = None) -> Column:
+def redact_json(c: Column) -> Column:
     """JSON text with the values of secret keys masked at any depth and non-finite numbers null; invalid JSON is null."""
-    from tallyforge.operators.tracking import SECRET_KEYS
-
-    parts = secret or SECRET_KEYS
-
-    def clean(v):
-        if isinstance(v, dict):
-            return {k: "***" if any(s in k.lower().replace("-", "_").replace(" ", "_") for s in parts) else clean(x) for k, x in v.items()}
-        if isinstance(v, list):
-            return [clean(x) for x in v]
-        return None if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))) else v
+    from tallyforge.operators.tracking import redacted
 
     def masked(x: pd.Series) -> pd.Series:
         out = []
         for raw in x:
             try:
-                out.append(None if raw is None else json.dumps(clean(json.loads(raw)), ensure_ascii=False))
+                out.append(None if raw is None else json.dumps(redacted(json.loads(raw)), ensure_ascii=False))
             except ValueError:
                 out.append(None)
         return pd.Series(out, dtype="object")

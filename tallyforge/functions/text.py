@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -110,12 +112,29 @@ def display_store(c: Column) -> Column:
     return F.when(name != "", name)
 
 
+@lru_cache(1)
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """What full case folding does to characters that lower case leaves: one-to-one pairs, and longer results."""
+    made = [(c, f) for c in map(chr, range(128, sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c and (f := c.casefold()) != c]
+    short = [(c, f) for c, f in made if len(f) == 1]
+    return "".join(c for c, _ in short), "".join(f for _, f in short), [(c, f) for c, f in made if len(f) > 1]
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding: lower case, then the characters that fold further; ASCII text needs the first only."""
+    old, new, longer = _folds()
+    low = F.lower(c)
+    one = F.when(low.rlike(f"[{old}]"), F.translate(low, old, new)).otherwise(low)
+    pairs = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in longer))
+    full = F.when(one.rlike("[" + "".join(x for x, _ in longer) + "]"), F.aggregate(pairs, one, lambda t, p: F.replace(t, p["x"], p["y"]))).otherwise(one)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), full).otherwise(low)
+
+
 def evaluation_text(c: Column, case_sensitive: bool = False, whitespace: bool = True, punctuation: bool = False) -> Column:
-    """Text as compared by the evaluation; punctuation is dropped on demand."""
-    out = c if case_sensitive else F.lower(c)
-    if punctuation:
-        out = F.regexp_replace(out, r"(?U)[^\w\s]", "")
-    return squeeze(out) if whitespace else out
+    """Text as compared by the evaluation, its case folded; punctuation is dropped on demand."""
+    out = squeeze(c) if whitespace else c
+    out = out if case_sensitive else casefold(out)
+    return squeeze(F.regexp_replace(out, r"(?U)[^\p{L}\p{N}_\s]", "")) if punctuation else out
 
 
 def sanitize_name(c: Column, longest: int = 250) -> Column:
@@ -152,26 +171,55 @@ def digits(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\p{Nd}]", ""))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length, of compared texts; two empty ones are equal."""
+def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """1 - edit distance / longer length, of compared texts; 0 if either is empty.
+
+    Below ``least`` the result is 0: the distance is given up once it passes what could still reach it.
+    """
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    distance = F.call_function("levenshtein", a, b, F.floor(longest * (1 - least) + 1e-6).cast("int")) if least else F.levenshtein(a, b)
+    value = F.when(distance >= 0, 1 - distance / longest).otherwise(0.0)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(F.when(value >= least, value).otherwise(0.0))
+
+
+def place(values: Column, x: Column) -> Column:
+    """How many of the sorted values are less than ``x``, by binary search."""
+
+    def halved(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        above = F.struct((middle + 1).alias("low"), a["high"].alias("high"))
+        below = F.struct(a["low"].alias("low"), middle.alias("high"))
+        return F.when(a["low"] >= a["high"], a).when(F.get(values, middle) < x, above).otherwise(below)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(values).alias("high")), halved, lambda a: a["low"])
+
+
+def words(c: Column) -> Column:
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance over words: distinct words become code points, then ``levenshtein``.
 
-    Code points run from U+4E00 up to U+D7FF, so a pair may hold some 35,000 distinct words.
+    Code points run from U+4E00 up to U+D7FF and from U+10000 up to U+10FFFF, a word's being its
+    place among the sorted ones. A pair of over 1,083,904 distinct words raises an error.
     """
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    vocab = F.array_distinct(F.concat(words(a), words(b)))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(vocab, w)), 4, "0")), "UTF-16BE")
-    coded = lambda c: F.array_join(F.transform(words(c), code), "")
-    return F.levenshtein(coded(a), coded(b))
+
+    def coded(ws: Column, known: Column) -> Column:
+        at = lambda w: place(known, w)
+        point = lambda n: F.when(n < 0xD800 - 0x4E00, n + 0x4E00).otherwise(n - (0xD800 - 0x4E00) + 0x10000)
+        return F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(point(at(w))), 8, "0")), "")), "UTF-32")
+
+    def both(x: Column) -> Column:
+        known = F.array_sort(F.array_distinct(F.concat(x["a"], x["b"])))
+        return F.get(F.transform(F.array(known), lambda v: F.levenshtein(coded(x["a"], v), coded(x["b"], v))), F.lit(0))
+
+    return F.get(F.transform(F.array(F.struct(words(a).alias("a"), words(b).alias("b"))), both), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    return F.size(words(c))
 
 
 def url_file_id(c: Column, marker: str = "/file/d/", parameter: str = "id") -> Column:

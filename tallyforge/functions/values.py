@@ -143,3 +143,22 @@ def tier(c: Column, medium: float = 0.90, low: float = 0.70) -> Column:
 def codes(*pairs: tuple[Column, str]) -> Column:
     """Array of the codes whose condition holds, in the given order."""
     return F.filter(F.array(*[F.when(cond, F.lit(code)) for cond, code in pairs]), lambda x: x.isNotNull())
+
+
+def shown_confidence(c: Column) -> Column:
+    """A confidence as shown: numbers over 1 are percentages, the result lies in 0..1; what is no finite number is null."""
+    number = c.try_cast("double")
+    finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(finite > 1, finite / 100).otherwise(finite))) + finite * 0
+
+
+def percent_text(c: Column) -> Column:
+    """A shown confidence in per cent with one digit; a dash where there is none."""
+    return F.coalesce(F.concat(F.format_number(shown_confidence(c) * 100, "0.0"), F.lit("%")), F.lit("\u2014"))
+
+
+def money_text(c: Column) -> Column:
+    """An amount with two digits, without grouping; a dash where it is no finite number."""
+    number = c.try_cast("double")
+    finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    return F.coalesce(F.format_number(finite, "0.00"), F.lit("\u2014"))

@@ -22,6 +22,12 @@ def normal_items(c: Column) -> Column:
     return F.transform(named, lambda x: F.struct(F.trim(x["name"]).alias("name"), F.round(F.when(x["price"] >= 0, x["price"]), 2).alias("price"), F.round(V.clip(F.coalesce(x["confidence"], F.lit(0.0))), 4).alias("confidence")))
 
 
+def price_rollup(prices: Column) -> dict[str, Column]:
+    """Sum, count, least and greatest of an array of money, within its row."""
+    total = F.aggregate(prices, F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x).cast("decimal(38,2)"))
+    return {"item_sum": total, "items": F.size(prices).cast("bigint"), "least": F.array_min(prices), "greatest": F.array_max(prices)}
+
+
 def item_warnings(c: Column) -> Column:
     """Positional codes of items that are nameless or whose confidence is out of range."""
     codes = F.transform(c, lambda x, i: V.codes((F.coalesce(F.trim(x["name"]) == "", F.lit(True)), "name_missing"), (x["confidence"].isNotNull() & ~x["confidence"].between(0, 1), "confidence_invalid")))

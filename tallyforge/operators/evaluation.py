@@ -83,9 +83,9 @@ def rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 
 
 def item_counts(pred: DataFrame, truth: DataFrame, matched: DataFrame, key: str = "receipt_id") -> DataFrame:
-    """tp, fp and fn of each receipt that has items on either side."""
-    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
-    out = count(pred, "p").join(count(truth, "t"), key, "full_outer").join(count(matched, "m"), key, "left").na.fill(0, ["p", "t", "m"])
+    """tp, fp and fn of each receipt that has items on either side; one shuffle, sums combine on the map side."""
+    one = lambda df, *which: df.select(key, *(F.lit(w).alias(n) for w, n in zip(which, "ptm")))
+    out = one(pred, 1, 0, 0).unionAll(one(truth, 0, 1, 0)).unionAll(one(matched, 0, 0, 1)).groupBy(key).agg(*(F.sum(n).alias(n) for n in "ptm"))
     return out.select(key, F.col("m").alias("tp"), (F.col("p") - F.col("m")).alias("fp"), (F.col("t") - F.col("m")).alias("fn"))
 
 
@@ -97,14 +97,24 @@ def micro_macro(counts: DataFrame) -> DataFrame:
     return pooled.withColumns({f"micro_{k}": c for k, c in rates(tp, fp, fn).items()})
 
 
+def error_rates(df: DataFrame, truth: str, read: str) -> DataFrame:
+    """Character and word distances of two compared texts, lengths of the true one, and their rates (a length of 1 at least)."""
+    a, b = F.col(truth), F.col(read)
+    out = df.withColumns({
+        "char_distance": F.levenshtein(a, b).cast("bigint"), "reference_chars": F.length(a).cast("bigint"), "word_distance": T.word_distance(a, b).cast("bigint"), "reference_words": T.word_count(a).cast("bigint"),
+    })
+    rate = lambda edits, length: F.round(F.col(edits) / F.greatest(F.lit(1), F.col(length)), 6)
+    return out.withColumns({"cer": rate("char_distance", "reference_chars"), "wer": rate("word_distance", "reference_words")})
+
+
 def corpus_metric(df: DataFrame, distance: str, length: str, name: str) -> DataFrame:
     """Micro rate: summed distances over summed reference lengths (1 at least)."""
     out = df.agg(F.coalesce(F.sum(distance), F.lit(0)).alias("edits"), F.coalesce(F.sum(length), F.lit(0)).alias("reference"))
     return out.withColumn(name, F.round(F.col("edits") / F.greatest(F.lit(1), F.col("reference")), 6))
 
 
-def calibration(df: DataFrame, confidence: str = "confidence", correct: str = "correct", bins: int = 10) -> DataFrame:
-    """Equal-width bins ``[low, high)``, the last one closed, with count, mean confidence and accuracy; empty bins stay.
+def calibration_sums(df: DataFrame, confidence: str = "confidence", correct: str = "correct", bins: int = 10) -> DataFrame:
+    """Equal-width bins ``[low, high)``, the last one closed, with count, mean confidence and accuracy, not rounded; empty bins stay.
 
     Rows are summed by bin first, so the range join is of at most ``bins`` rows on either side.
     """
@@ -117,15 +127,49 @@ def calibration(df: DataFrame, confidence: str = "confidence", correct: str = "c
     rows = df.where(F.col(confidence).isNotNull() & F.col(correct).isNotNull()).withColumn("bin", at).where("bin is not null")
     sums = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(confidence).alias("c"), F.avg(F.col(correct).cast("int")).alias("a"))
     out = edges.join(F.broadcast(sums), "bin", "left")
-    return out.select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.coalesce("n", F.lit(0)).alias("receipts"), F.round("c", 6).alias("mean_confidence"), F.round("a", 6).alias("accuracy"))
+    return out.select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("receipts"), F.col("c").alias("mean_confidence"), F.col("a").alias("accuracy"))
+
+
+def calibration(df: DataFrame, confidence: str = "confidence", correct: str = "correct", bins: int = 10) -> DataFrame:
+    """``calibration_sums`` as shown, rounded to six digits."""
+    rounded = (F.round(c, 6).alias(c) for c in ("mean_confidence", "accuracy"))
+    return calibration_sums(df, confidence, correct, bins).select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "receipts", *rounded)
 
 
 def calibration_error(df: DataFrame, confidence: str = "confidence", correct: str = "correct", bins: int = 10) -> DataFrame:
-    b = calibration(df, confidence, correct, bins)
+    """Count-weighted mean gap between confidence and accuracy, rounded only at the end."""
+    b = calibration_sums(df, confidence, correct, bins)
     gap = F.col("receipts") * F.abs(F.col("mean_confidence") - F.col("accuracy"))
     return b.agg(F.sum("receipts").alias("receipts"), F.round(F.try_divide(F.sum(gap), F.sum("receipts")), 4).alias("expected_calibration_error"))
 
 
+def receipt_means(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per metric over receipts that have it: how many, mean and exact median."""
+    one = df.agg(*(x for c in columns for x in (F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__a"), F.median(c).alias(f"{c}__m"))))
+    rows = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"{c}__n").alias("receipts"), F.col(f"{c}__a").alias("mean"), F.col(f"{c}__m").alias("median")) for c in columns))
+    return one.select(F.inline(rows)).select("metric", "receipts", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+
+
+def ids(df: DataFrame, key: str = "receipt_id") -> DataFrame:
+    """The distinct ids of one side."""
+    return df.select(key).distinct()
+
+
+def missing(pred: DataFrame, truth: DataFrame, key: str = "receipt_id") -> DataFrame:
+    """Ids of the truth without a prediction; with the sides changed, extra predictions."""
+    return ids(truth, key).join(ids(pred, key), key, "left_anti")
+
+
+def common(pred: DataFrame, truth: DataFrame, key: str = "receipt_id") -> DataFrame:
+    """Ids on both sides."""
+    return ids(pred, key).join(ids(truth, key), key, "left_semi")
+
+
+def either(pred: DataFrame, truth: DataFrame, key: str = "receipt_id") -> DataFrame:
+    """Ids on any side."""
+    return pred.select(key).unionByName(truth.select(key)).distinct()
+
+
 def gates(metrics: DataFrame, config: Evaluation = Evaluation()) -> DataFrame:
     """Status of six thresholds over a one-row table of metrics, and the overall one.
 

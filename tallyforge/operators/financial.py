@@ -83,20 +83,25 @@ def spend_per_store(decided_: DataFrame) -> DataFrame:
 
 
 def ranked(spend: DataFrame) -> DataFrame:
-    """Stores by falling spend, then name ignoring case. One row per store, sorted by range partitions.
+    """Stores by falling spend, then name ignoring case. One row per store, dealt into ranges of spend.
 
     The rank is the row's place in its range plus the rows of the ranges before it, so no single task
-    holds all stores.
+    holds all stores. A row's range is a function of its spend alone (cuts at quantiles, one number
+    per range on the driver), so the count of a range and its rows agree however the plan is run.
     """
     from pyspark.sql.window import Window
 
-    order = [F.desc("spend"), F.lower("store_name"), "store_key"]
-    parts = int(spend.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both uses see the same ranges
-    placed = spend.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    placed = placed.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return placed.join(before, "__part").withColumn("rank", F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
+    parts = int(spend.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    amount = F.col("spend").cast("double")
+    cuts = sorted(set(spend.select(amount.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.1 / parts)), reverse=True)
+    at = F.lit(len(cuts))
+    for i, cut in reversed(list(enumerate(cuts))):
+        at = F.when(amount >= cut, i).otherwise(at)
+    rows = spend.withColumn("__range", at)
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc("spend"), F.lower("store_name"), "store_key"))
+    return rows.withColumn("__place", place).join(F.broadcast(before), "__range").withColumn("rank", F.col("__place") + F.col("__before")).drop("__range", "__place", "__before")
 
 
 def totals(decided_: DataFrame) -> DataFrame:

@@ -17,10 +17,12 @@ def candidate_pairs(pred: DataFrame, truth: DataFrame, key: str = "receipt_id",
     Equi-join on the receipt; the cheap price test comes before the edit distance, which itself
     stops at the largest distance that could still pass.
     """
-    p = pred.select(key, F.col("pos").alias("pred_pos"), F.lower(T.squeeze(F.col("name"))).alias("__p"), F.col("price").alias("__pp"))
-    t = truth.select(key, F.col("pos").alias("truth_pos"), F.lower(T.squeeze(F.col("name"))).alias("__t"), F.col("price").alias("__tp"))
+    name = T.evaluation_text(F.col("name"))
+    p = pred.select(key, F.col("pos").alias("pred_pos"), name.alias("__p"), F.col("price").alias("__pp"))
+    t = truth.select(key, F.col("pos").alias("truth_pos"), name.alias("__t"), F.col("price").alias("__tp"))
     priced = F.col("__tp").isNull() | (F.abs(F.col("__pp").cast("decimal(38,4)") - F.col("__tp").cast("decimal(38,4)")) <= config.price_tolerance)
-    pairs = p.join(t, key).where(priced).withColumn("similarity", T.similarity(F.col("__p"), F.col("__t"))).where(F.col("similarity") >= config.name_similarity)
+    least = config.name_similarity
+    pairs = p.join(t, key).where(priced).withColumn("similarity", T.similarity(F.col("__p"), F.col("__t"), least)).where(F.col("similarity") >= least)
     return pairs.select(key, "pred_pos", "truth_pos", F.round("similarity", 6).alias("similarity"))
 
 

@@ -70,12 +70,19 @@ def financial_consistency(item_sum: Column, total: Column, config: Confidence =
     return F.struct(F.round(gap, 4).alias("difference"), F.round(share, 4).alias("relative_difference"), verdict.alias("verdict"))
 
 
+def with_sources(df: DataFrame, sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Left joins to one row per key of each source; the name of a source tells whether it had one."""
+    for has, (source, key) in sources.items():
+        df = df.join(source.withColumn(has, F.lit(True)), key, "left").withColumn(has, F.coalesce(has, F.lit(False)))
+    return df
+
+
 def best_region(regions: Column, value: Column, source: Column, index: Column) -> Column:
     """Region that supports a value: at its index, else anywhere, by source text, by value, then by containment.
 
     Struct of ``confidence`` and ``method``. Without any match the mean confidence counts for 0.6.
     """
-    norm = lambda c: F.lower(T.squeeze(c))
+    norm = T.evaluation_text
     v, s = norm(value.cast("string")), norm(source)
     part = lambda t: t.contains(v) | v.contains(t)
     here = F.get(regions, index)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
@@ -23,6 +24,15 @@ def secret_key(name: str) -> bool:
     return any(s in plain for s in SECRET_KEYS)
 
 
+def redacted(value: object) -> object:
+    """A nested value with what secret keys hold masked at any depth, and numbers that are not finite null."""
+    if isinstance(value, Mapping):
+        return {str(k): "***" if secret_key(str(k)) else redacted(v) for k, v in value.items()}
+    if isinstance(value, Sequence) and not isinstance(value, (str, bytes)):
+        return [redacted(v) for v in value]
+    return None if isinstance(value, float) and (value != value or abs(value) == float("inf")) else value
+
+
 class RunLog:
     """One run of a long-table log below ``folder``; as a context manager it records success or failure."""
 
@@ -35,7 +45,9 @@ class RunLog:
         made = []
         for k, v in rows.items():
             number = float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) and abs(float(v)) < float("inf") else None
-            made.append((self.run_id, kind, k, "***" if secret_key(k) else None if v is None else str(v), None if secret_key(k) else number, now))
+            nested = isinstance(v, (Mapping, list, tuple))
+            text = json.dumps(redacted(v), ensure_ascii=False, default=str) if nested else str(v)
+            made.append((self.run_id, kind, k, "***" if secret_key(k) else None if v is None else text, None if secret_key(k) else number, now))
         df = self.spark.createDataFrame(made, SCHEMA)
         df = df.withColumn("key", T.sanitize_name(F.col("key"))).withColumn("value", T.truncate(T.redact(F.col("value")), LONGEST_VALUE))
         df.write.mode("append").parquet(self.folder)
@@ -79,6 +91,13 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     return latest.groupBy("run_id").agg(F.max(F.when((F.col("kind") == "tag") & (F.col("key") == "status"), F.col("value"))).alias("status"), pick("param", "value").alias("params"), pick("metric", "number").alias("metrics"))
 
 
+def manifest(df: DataFrame, stage: str, ok: Column, value: str) -> DataFrame:
+    """Per stage: rows, successful ones, their share, and the mean of a value over them."""
+    return df.groupBy(F.col(stage).alias("stage")).agg(
+        F.count("*").alias("total"), F.count_if(ok).alias("successful"), F.round(F.try_divide(F.count_if(ok), F.count("*")), 6).alias("success_rate"), F.round(F.avg(F.when(ok, F.col(value))), 2).alias("mean_value"),
+    )
+
+
 def unpivoted(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
     """Wide numeric columns to ``key, value`` rows."""
     return df.select(*ids, *(F.col(v).cast("double").alias(v) for v in values)).unpivot(ids, values, "key", "value")

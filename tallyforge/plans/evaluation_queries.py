@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evaluation, matching
+from tallyforge.operators import evaluation, matching, tracking
 from tallyforge.plans.registry import query
 from tallyforge.plans.stand_ins import ITEMS, PRED_ITEMS, PREDICTED, TRUTH, oracle, table, view
-from tallyforge.plans.text_queries import WORDS, corpus_cer, corpus_wer
+from tallyforge.plans.text_queries import CER, WER, corpus_cer, corpus_wer
 
 _SIDE = "SELECT receipt_id, count(*) AS n, {cols} FROM ({sql}) GROUP BY receipt_id"
 _ONCE = "CASE WHEN count(*) = 1 THEN any_value({c}) END AS {a}_{c}"
@@ -53,8 +53,8 @@ def eval_coverage(spark, sf_dir):
     return evaluation.coverage(aligned(spark, sf_dir))
 
 
-def ids(spark, sf_dir, sql):
-    return view(spark, sf_dir, sql).select("receipt_id")
+def sides(spark, sf_dir):
+    return view(spark, sf_dir, PREDICTED), view(spark, sf_dir, TRUTH)
 
 
 PI, TI = f"SELECT receipt_id FROM ({oracle(PREDICTED)})", f"SELECT receipt_id FROM ({oracle(TRUTH)})"
@@ -62,40 +62,40 @@ PI, TI = f"SELECT receipt_id FROM ({oracle(PREDICTED)})", f"SELECT receipt_id FR
 
 @query(f"SELECT DISTINCT receipt_id FROM ({TI}) WHERE receipt_id NOT IN ({PI})")
 def missing_predictions(spark, sf_dir):
-    return ids(spark, sf_dir, TRUTH).join(ids(spark, sf_dir, PREDICTED), "receipt_id", "left_anti").distinct()
+    return evaluation.missing(*sides(spark, sf_dir))
 
 
 @query(f"SELECT DISTINCT receipt_id FROM ({PI}) WHERE receipt_id NOT IN ({TI})")
 def extra_predictions(spark, sf_dir):
-    return ids(spark, sf_dir, PREDICTED).join(ids(spark, sf_dir, TRUTH), "receipt_id", "left_anti").distinct()
+    return evaluation.missing(*reversed(sides(spark, sf_dir)))
 
 
 @query(f"SELECT DISTINCT receipt_id FROM ({PI}) WHERE receipt_id IN ({TI})")
 def matched_receipts(spark, sf_dir):
-    return ids(spark, sf_dir, PREDICTED).join(ids(spark, sf_dir, TRUTH), "receipt_id", "left_semi").distinct()
+    return evaluation.common(*sides(spark, sf_dir))
 
 
 @query(f"{PI} UNION {TI}")
 def id_union(spark, sf_dir):
-    return ids(spark, sf_dir, PREDICTED).union(ids(spark, sf_dir, TRUTH)).distinct()
+    return evaluation.either(*sides(spark, sf_dir))
 
 
 @query(f"{PI} INTERSECT {TI}")
 def id_intersect(spark, sf_dir):
-    return ids(spark, sf_dir, PREDICTED).intersect(ids(spark, sf_dir, TRUTH))
+    return evaluation.common(*sides(spark, sf_dir))
 
 
 @query(f"{PI} EXCEPT {TI}")
 def id_except(spark, sf_dir):
-    return ids(spark, sf_dir, PREDICTED).subtract(ids(spark, sf_dir, TRUTH))
+    return evaluation.missing(*reversed(sides(spark, sf_dir)))
 
 
 BINS = ALIGNED + """, b AS (SELECT CAST(b AS INTEGER) AS bin, b / 10 AS low, (b + 1) / 10 AS high FROM range(10) t(b)),
-c AS (SELECT bin, low, high, count(pred_confidence) AS receipts, round(avg(pred_confidence), 6) AS mean_confidence, round(avg(CAST(all_correct AS INTEGER)), 6) AS accuracy
+c AS (SELECT bin, low, high, count(pred_confidence) AS receipts, avg(pred_confidence) AS mean_confidence, avg(CAST(all_correct AS INTEGER)) AS accuracy
   FROM b LEFT JOIN (SELECT pred_confidence, all_correct FROM e WHERE pred_confidence IS NOT NULL AND all_correct IS NOT NULL) x ON pred_confidence >= low AND (pred_confidence < high OR (bin = 9 AND pred_confidence <= high)) GROUP BY ALL) """
 
 
-@query(BINS + "SELECT bin, round(low, 6) AS low, round(high, 6) AS high, receipts, mean_confidence, accuracy FROM c")
+@query(BINS + "SELECT bin, round(low, 6) AS low, round(high, 6) AS high, receipts, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 6) AS accuracy FROM c")
 def calibration_bins(spark, sf_dir):
     return evaluation.calibration(fields(spark, sf_dir), "pred_confidence", "required_fields_all_correct")
 
@@ -123,6 +123,33 @@ def item_candidate_pairs(spark, sf_dir):
     return matching.candidate_pairs(pred_items(spark, sf_dir), truth_items(spark, sf_dir))
 
 
+#: Items of which several claim the same one: names of 20 characters, each edit worth 0.05. The optimum takes two weaker pairs
+#: (key % 3 = 0), the stronger of two pairings (1), or the better of two single pairs (2); the greedy order differs in the first two.
+_BASE = "lpad(CAST(p_partkey AS STRING), 20, 'x')"
+CONTESTED_TRUTH = f"SELECT p_partkey AS receipt_id, 0 AS pos, 'yzz' || substr({_BASE}, 4) AS name, 1.0 AS price FROM {{part}} UNION ALL SELECT p_partkey, 1, {_BASE}, 1.0 FROM {{part}}"
+CONTESTED_PRED = f"""SELECT p_partkey AS receipt_id, 0 AS pos, 'y' || substr({_BASE}, 2) AS name, 1.0 AS price FROM {{part}}
+UNION ALL SELECT p_partkey, 1, CASE p_partkey % 3 WHEN 0 THEN 'xxxqq' || substr({_BASE}, 6) WHEN 1 THEN 'xxxq' || substr({_BASE}, 5) ELSE 'another thing' END, 1.0 FROM {{part}}"""
+#: All four possible pairs of a receipt side by side; of two by two items only two assignments are whole.
+CONTESTED = f"""WITH t AS ({oracle(CONTESTED_TRUTH)}), p AS ({oracle(CONTESTED_PRED)}),
+x AS (SELECT p.receipt_id, p.pos AS i, t.pos AS j, round(1 - levenshtein(p.name, t.name) / greatest(length(p.name), length(t.name)), 6) AS s FROM p JOIN t ON p.receipt_id = t.receipt_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY s DESC, i, j) AS place, coalesce(sum(s + 0.01) OVER (PARTITION BY receipt_id, i = j), 0) AS own, coalesce(sum(s + 0.01) OVER (PARTITION BY receipt_id), 0) AS every FROM x WHERE s >= 0.8) """
+
+
+def contested(spark, sf_dir, method):
+    pairs = matching.candidate_pairs(view(spark, sf_dir, CONTESTED_PRED), view(spark, sf_dir, CONTESTED_TRUTH))
+    return matching.matches(pairs, method=method).select("receipt_id", "pred_pos", "truth_pos")
+
+
+@query(CONTESTED + "SELECT receipt_id, i AS pred_pos, j AS truth_pos FROM k WHERE own > every - own")
+def item_assignment_optimal(spark, sf_dir):
+    return contested(spark, sf_dir, "optimal")
+
+
+@query(CONTESTED + "SELECT k.receipt_id, k.i AS pred_pos, k.j AS truth_pos FROM k JOIN k f ON k.receipt_id = f.receipt_id AND f.place = 1 WHERE k.place = 1 OR (k.i <> f.i AND k.j <> f.j)")
+def item_assignment_greedy(spark, sf_dir):
+    return contested(spark, sf_dir, "greedy")
+
+
 #: With at most one candidate per item the pairs are the matches; where an item has more, greedy and optimal agree on counts here.
 COUNTS = PAIRS + """, m AS (SELECT receipt_id, least(count(DISTINCT pred_pos), count(DISTINCT truth_pos)) AS m FROM pairs GROUP BY 1), pc AS (SELECT receipt_id, count(*) AS p FROM pred GROUP BY 1), tc AS (SELECT receipt_id, count(*) AS t FROM truth GROUP BY 1),
 c AS (SELECT coalesce(pc.receipt_id, tc.receipt_id) AS receipt_id, coalesce(m, 0) AS tp, coalesce(p, 0) - coalesce(m, 0) AS fp, coalesce(t, 0) - coalesce(m, 0) AS fn FROM pc FULL OUTER JOIN tc ON pc.receipt_id = tc.receipt_id LEFT JOIN m ON m.receipt_id = coalesce(pc.receipt_id, tc.receipt_id)),
@@ -143,9 +170,16 @@ def item_micro_macro_f1(spark, sf_dir):
     return evaluation.micro_macro(item_match_counts(spark, sf_dir))
 
 
-GATES = ALIGNED + ", " + WORDS.strip().removeprefix("WITH ").replace("d AS", "dd AS", 1).replace("FROM d)", "FROM dd)").replace("e AS (SELECT *, list", "ee AS (SELECT *, list").replace("FROM e)", "FROM ee)") + """,
-g AS (SELECT (SELECT sum(levenshtein(r, h)) / greatest(1, sum(length(r))) FROM dd) AS corpus_cer, (SELECT sum(distance) / greatest(1, sum(words)) FROM w) AS corpus_wer,
-  count(*) FILTER (store_correct) / count(store_correct) AS store_accuracy, count(*) FILTER (date_correct) / count(date_correct) AS date_accuracy, count(*) FILTER (total_correct) / count(total_correct) AS total_accuracy, CAST(NULL AS DOUBLE) AS item_f1 FROM e),
+@query(COUNTS + """, v AS (UNPIVOT (SELECT round(pr, 6) AS precision, round(re, 6) AS recall, round(f, 6) AS f1 FROM w) ON precision, recall, f1 INTO NAME metric VALUE value)
+SELECT metric, count(value) AS receipts, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM v GROUP BY metric""")
+def item_metrics_per_receipt(spark, sf_dir):
+    counts = item_match_counts(spark, sf_dir)
+    return evaluation.receipt_means(counts.withColumns(evaluation.rates(F.col("tp"), F.col("fp"), F.col("fn"))), ["precision", "recall", "f1"])
+
+
+GATES = ALIGNED + f""",
+g AS (SELECT (SELECT sum(distance) / greatest(1, sum(length)) FROM ({CER})) AS corpus_cer, (SELECT sum(distance) / greatest(1, sum(words)) FROM ({WER})) AS corpus_wer,
+""" + """  count(*) FILTER (store_correct) / count(store_correct) AS store_accuracy, count(*) FILTER (date_correct) / count(date_correct) AS date_accuracy, count(*) FILTER (total_correct) / count(total_correct) AS total_accuracy, CAST(NULL AS DOUBLE) AS item_f1 FROM e),
 h AS (SELECT unnest([{'gate': 'corpus_cer', 'value': corpus_cer, 'threshold': 0.20, 'up': false}, {'gate': 'corpus_wer', 'value': corpus_wer, 'threshold': 0.30, 'up': false}, {'gate': 'store_accuracy', 'value': store_accuracy, 'threshold': 0.90, 'up': true},
   {'gate': 'date_accuracy', 'value': date_accuracy, 'threshold': 0.90, 'up': true}, {'gate': 'total_accuracy', 'value': total_accuracy, 'threshold': 0.95, 'up': true}, {'gate': 'item_f1', 'value': item_f1, 'threshold': 0.85, 'up': true}]) AS x FROM g),
 k AS (SELECT x.gate AS gate, round(x.value, 6) AS value, CAST(x.threshold AS DOUBLE) AS threshold, CASE WHEN x.value IS NULL THEN 'not_evaluable' WHEN (x.up AND x.value >= x.threshold) OR (NOT x.up AND x.value <= x.threshold) THEN 'passed' ELSE 'failed' END AS status FROM h)
@@ -163,5 +197,4 @@ def quality_gates(spark, sf_dir):
 @query("""SELECT o_orderstatus AS stage, count(*) AS total, count(*) FILTER (o_orderpriority <> '1-URGENT') AS successful, round(count(*) FILTER (o_orderpriority <> '1-URGENT') / count(*), 6) AS success_rate,
   round(avg(o_totalprice) FILTER (o_orderpriority <> '1-URGENT'), 2) AS mean_value FROM orders GROUP BY 1""")
 def stage_manifest_rates(spark, sf_dir):
-    ok = F.col("o_orderpriority") != "1-URGENT"
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("stage")).agg(F.count("*").alias("total"), F.count_if(ok).alias("successful"), F.round(F.count_if(ok) / F.count("*"), 6).alias("success_rate"), F.round(F.avg(F.when(ok, F.col("o_totalprice"))), 2).alias("mean_value"))
+    return tracking.manifest(table(spark, sf_dir, "orders"), "o_orderstatus", F.col("o_orderpriority") != "1-URGENT", "o_totalprice")

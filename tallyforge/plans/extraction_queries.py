@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.functions import values as V
-from tallyforge.operators import dedup, extraction
+from tallyforge.operators import extraction, scoring
 from tallyforge.plans.registry import query
-from tallyforge.plans.stand_ins import ITEMS, LINES, oracle, table, view
+from tallyforge.plans.stand_ins import FRAMES, ITEM_LINES, ITEMS, LINES, oracle, table, view
 
 ADDRESS = "(regexp_matches({c}, '\\b\\d{{5,}}\\b') OR regexp_matches({c}, '(?i)\\b\\d+\\s+[A-Z][A-Z0-9\\- ]{{2,}}\\b') OR regexp_matches({c}, '(?i)\\b(?:ST|STREET|ROAD|RD|AVE|AVENUE|DR|DRIVE|BLVD|LN|LANE|CT|COURT|CIR|HIGHWAY|HWY)\\b'))"
 META = "(regexp_matches({c}, '(?i)ACCOUNT|REF|NETWORK|TERMINAL|TC\\s*#|APPR|APPROVAL|ITEMS\\s+SOLD|STORE\\s+HOURS|\\b[A-Z]{{2,}}\\s*#\\s*\\d+\\b|@') OR regexp_matches({c}, '\\b\\d{{4}}(?:\\s+\\d{{4}}){{2,}}\\b'))"
@@ -29,9 +28,10 @@ def fmt(template: str, c: str) -> str:
 
 def receipts(spark, sf_dir):
     """One row per receipt with its ordered lines."""
-    rows = view(spark, sf_dir, LINES)
-    packed = rows.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    return packed.select("receipt_id", F.transform("ls", lambda x: x["line"]).alias("lines"))
+    items = view(spark, sf_dir, ITEM_LINES).groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    none = F.array().cast("array<string>")
+    rows = view(spark, sf_dir, FRAMES).join(items, "receipt_id", "left")
+    return rows.select("receipt_id", F.concat("above", F.coalesce(F.transform("ls", lambda x: x["line"]), none), "below").alias("lines"))
 
 
 def shown(df, name: str):
@@ -40,7 +40,7 @@ def shown(df, name: str):
     return df.select("receipt_id", c["value"].alias("value"), c["confidence"].alias("confidence"), c["extraction_method"].alias("method"), c["region_index"].alias("region_index"))
 
 
-@query(f"""WITH {NUMBERED}, k AS (SELECT *, trim(regexp_replace(regexp_extract(line, '(?i)\\b(?:STORE|SHOP|VENDOR|MERCHANT|SELLER)\\s*[:\\-]\\s*(.+)$', 1), '^[\\s:,\\-]+|[\\s:,\\-]+$', '', 'g')) AS named FROM l WHERE i < 8),
+@query(f"""WITH {NUMBERED}, k AS (SELECT *, trim(regexp_replace(regexp_extract(line, '(?i)\\b(?:STORE|SHOP|VENDOR|MERCHANT|SELLER|STORE\\s+NAME|MERCHANT\\s+NAME)\\s*[:\\-]\\s*(.+)$', 1), '^[\\s:,\\-]+|[\\s:,\\-]+$', '', 'g')) AS named FROM l WHERE i < 8),
 c AS (SELECT receipt_id, i, 0 AS pass, named AS value, 0.97 AS confidence, 'vendor_label' AS method FROM k WHERE named <> '' AND NOT {fmt(ADDRESS, 'named')}
 UNION ALL SELECT receipt_id, i, 1, trim(regexp_replace(line, '^[\\s:,\\-]+|[\\s:,\\-]+$', '', 'g')), CASE WHEN i = 0 THEN 0.82 ELSE 0.70 END, 'top_line_heuristic' FROM k
   WHERE NOT (named <> '' AND NOT {fmt(ADDRESS, 'named')}) AND NOT regexp_matches(upper(line), 'DATE|TIME|RECEIPT|INVOICE|GST|TAX|TOTAL|PHONE|TEL|ADDRESS|BILL|SAVE MONEY') AND {fmt(DATE_OF, 'line')} IS NULL AND NOT {fmt(ADDRESS, 'line')} AND NOT {fmt(META, 'line')}
@@ -104,18 +104,19 @@ def extract_items(spark, sf_dir):
 
 @query(f"SELECT receipt_id, min(pos) AS pos, lower(name) AS name, CAST(price AS DOUBLE) AS price FROM (SELECT receipt_id, pos, name, CAST(CAST(price AS BIGINT) // 20000 AS DECIMAL(18,2)) AS price FROM ({oracle(ITEMS)})) GROUP BY receipt_id, lower(name), price")
 def item_dedup(spark, sf_dir):
-    rows = view(spark, sf_dir, ITEMS).select("receipt_id", "pos", F.lower("name").alias("name"), F.expr("CAST(round(price) AS BIGINT) DIV 20000").cast("double").alias("price"))
-    return dedup.keep_first(rows.withColumn("key", F.struct("receipt_id", "name", F.round("price", 2))), "key", "pos").select("receipt_id", "pos", "name", "price")
+    rows = view(spark, sf_dir, ITEMS).select("receipt_id", F.struct("pos", "name", F.expr("CAST(round(price) AS BIGINT) DIV 20000").cast("double").alias("price")).alias("x"))
+    packed = rows.groupBy("receipt_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return packed.select("receipt_id", F.inline(extraction.unique_items(F.col("xs")))).withColumn("name", F.lower("name"))
 
 
 @query("""SELECT o_orderkey AS receipt_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS extracted_total, CAST(s AS DOUBLE) AS raw_total, c_name AS cleaned_name, s IS NOT NULL AS has_raw, c_custkey IS NOT NULL AS has_cleaned
 FROM orders LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) ON c_custkey = o_custkey""")
 def extraction_with_sources(spark, sf_dir):
-    raw = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("s"))
-    clean = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select("c_custkey", "c_name")
-    rows = table(spark, sf_dir, "orders").join(raw, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(clean, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return rows.select(F.col("o_orderkey").alias("receipt_id"), F.col("o_totalprice").cast("decimal(18,2)").cast("double").alias("extracted_total"), F.col("s").cast("double").alias("raw_total"), F.col("c_name").alias("cleaned_name"),
-                       F.col("s").isNotNull().alias("has_raw"), F.col("c_custkey").isNotNull().alias("has_cleaned"))
+    raw = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("order")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("raw_total"))
+    clean = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("customer"), F.col("c_name").alias("cleaned_name"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").cast("decimal(18,2)").cast("double").alias("extracted_total"))
+    out = scoring.with_sources(rows, {"has_raw": (raw, "order"), "has_cleaned": (clean, "customer")})
+    return out.select(F.col("order").alias("receipt_id"), "extracted_total", F.col("raw_total").cast("double").alias("raw_total"), "cleaned_name", "has_raw", "has_cleaned")
 
 
 @query(None)

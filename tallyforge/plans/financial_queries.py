@@ -9,6 +9,7 @@ from tallyforge.functions import values as V
 from tallyforge.operators import canonical, dedup, financial
 from tallyforge.plans.registry import query
 from tallyforge.plans.stand_ins import ITEMS, RECEIPTS, oracle, table, view
+from tallyforge.sources import files
 
 AMOUNT_SQL = "trim(replace(regexp_replace(trim({c}), '(?i)(₹|rs\\.?|inr)', '', 'g'), ',', ''))"
 _T = AMOUNT_SQL.format(c="total_amount")
@@ -139,10 +140,26 @@ def items_rollup(spark, sf_dir):
     """In-array aggregates over the item array of each receipt."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     packed = rows.groupBy(F.col("l_orderkey").alias("receipt_id")).agg(F.collect_list(F.col("l_extendedprice").cast("decimal(18,2)")).alias("prices"))
-    return packed.select(
-        "receipt_id", F.aggregate("prices", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x).cast("decimal(38,2)")).cast("double").alias("item_sum"), F.size("prices").cast("bigint").alias("items"),
-        F.array_min("prices").cast("double").alias("least"), F.array_max("prices").cast("double").alias("greatest"),
+    made = packed.select("receipt_id", *(c.alias(n) for n, c in canonical.price_rollup(F.col("prices")).items()))
+    return money(made, "item_sum", "least", "greatest")
+
+
+#: Canonical documents as JSON texts; what is null is absent.
+DOCUMENTS = f"SELECT source_file, receipt_id, store_name, date, total_amount, CAST(overall_confidence AS STRING) AS overall_confidence, review_required, validation_status FROM ({RECEIPTS}) r"
+
+
+@query(f"""SELECT receipt_id, source_file, store_name, date, total_amount, overall_confidence, review_required, validation_status,
+  array_to_string(list_filter([CASE WHEN store_name IS NULL THEN 'missing_required_field:store_name' END, CASE WHEN date IS NULL THEN 'missing_required_field:date' END, CASE WHEN total_amount IS NULL THEN 'missing_required_field:total_amount' END,
+    CASE WHEN overall_confidence IS NULL THEN 'missing_required_field:overall_confidence' END, CASE WHEN review_required IS NULL THEN 'missing_required_field:review_required' END], lambda x: x IS NOT NULL), ';') AS malformed
+FROM ({oracle(DOCUMENTS)})""")
+def financial_input_flatten(spark, sf_dir):
+    """Nested documents, written as JSON and read by the library, as flat rows with codes for what is absent."""
+    doc = F.struct(
+        "store_name", "date", F.array().cast("array<string>").alias("items"), "total_amount", "overall_confidence", F.lit("high").alias("reliability"), "review_required", F.struct("receipt_id").alias("metadata"),
+        F.when(F.col("validation_status").isNotNull(), F.struct(F.col("validation_status").alias("status"))).alias("_validation"),
     )
+    docs = files.keyed(view(spark, sf_dir, DOCUMENTS).select("source_file", F.to_json(doc).alias("raw")))
+    return files.financial_input(docs).withColumn("malformed", F.array_join("malformed", ";"))
 
 
 @query(f"""WITH i AS ({oracle(ITEMS)}), j AS (SELECT receipt_id, pos, CASE WHEN pos % 5 = 4 THEN '  ' ELSE ' ' || name END AS name, CASE WHEN pos % 3 = 2 THEN -1.0 ELSE CAST(price AS DOUBLE) END AS price, pos * 0.3 AS confidence FROM i)

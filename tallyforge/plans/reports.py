@@ -60,13 +60,8 @@ def evaluate(pred: DataFrame, truth: DataFrame, ocr: DataFrame | None = None, co
     read = once(ocr.select("receipt_id", "full_text")).select("receipt_id", F.col("full_text").alias("__h"))
     want = t.select("receipt_id", F.col("full_text").alias("__r"))
     texts = want.join(read, "receipt_id").where("__r is not null and __h is not null")
-    a, b = T.evaluation_text(F.col("__r")), T.evaluation_text(F.col("__h"))
-    texts = texts.select(
-        "receipt_id", F.levenshtein(a, b).cast("bigint").alias("char_distance"), F.length(a).cast("bigint").alias("reference_chars"), T.word_distance(a, b).cast("bigint").alias("word_distance"), T.word_count(a).cast("bigint").alias("reference_words"))
-    out = out.join(texts, "receipt_id", "left").withColumns({
-        "cer": F.round(F.col("char_distance") / F.greatest(F.lit(1), F.col("reference_chars")), 6),
-        "wer": F.round(F.col("word_distance") / F.greatest(F.lit(1), F.col("reference_words")), 6),
-    })
+    texts = texts.select("receipt_id", T.evaluation_text(F.col("__r")).alias("__r"), T.evaluation_text(F.col("__h")).alias("__h"))
+    out = out.join(evaluation.error_rates(texts, "__r", "__h").drop("__r", "__h"), "receipt_id", "left")
     return evaluation.warnings(out, config)
 
 

@@ -63,25 +63,30 @@ SELECT receipt_id, pos, CASE WHEN (receipt_id + pos) % 5 = 0 THEN replace(name,
 FROM ({items}) i WHERE (receipt_id + pos) % 8 <> 3
 """
 
-#: Lines of a printed receipt per order: store, date, items, total, in shapes picked by the key.
-LINES = """
-SELECT o_orderkey AS receipt_id, 0 AS pos, CASE WHEN o_orderkey % 4 = 0 THEN 'STORE: ' || c_mktsegment || ' MART' WHEN o_orderkey % 4 = 1 THEN c_mktsegment || ' MART'
-  WHEN o_orderkey % 4 = 2 THEN 'RECEIPT COPY' ELSE 'REF 12 34' END AS line FROM {orders} JOIN {customer} ON o_custkey = c_custkey
-UNION ALL SELECT o_orderkey, 1, CASE WHEN o_orderkey % 4 = 2 THEN c_mktsegment || ' SHOPPING' WHEN o_orderkey % 4 = 3 THEN 'Tel 123' ELSE 'WELCOME' END FROM {orders} JOIN {customer} ON o_custkey = c_custkey
-UNION ALL SELECT o_orderkey, 2, CASE
+#: Lines of a printed receipt per order: store, date, items, total, in shapes picked by the key. First those above the items, by place.
+ABOVE = {
+    0: "CASE WHEN o_orderkey % 4 = 0 THEN 'STORE: ' || c_mktsegment || ' MART' WHEN o_orderkey % 4 = 1 THEN c_mktsegment || ' MART' WHEN o_orderkey % 4 = 2 THEN 'RECEIPT COPY' ELSE 'REF 12 34' END",
+    1: "CASE WHEN o_orderkey % 4 = 2 THEN c_mktsegment || ' SHOPPING' WHEN o_orderkey % 4 = 3 THEN 'Tel 123' ELSE 'WELCOME' END",
+    2: """CASE
     WHEN o_orderkey % 5 = 0 THEN 'DATE: ' || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '/' || CAST(year(o_orderdate) AS STRING)
     WHEN o_orderkey % 5 = 1 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 12:30'
     WHEN o_orderkey % 5 = 2 THEN 'REF 7 ' || CAST(day(o_orderdate) AS STRING) || '.' || CAST(month(o_orderdate) AS STRING) || '.' || substr(CAST(year(o_orderdate) AS STRING), 3, 2)
-    WHEN o_orderkey % 5 = 3 THEN 'DATE 31/02/2024' ELSE 'NO DAY HERE' END FROM {orders}
-UNION ALL SELECT receipt_id, 3 + pos, CASE WHEN pos % 4 = 3 THEN upper(name) || ' ' || CAST(quantity AS STRING) || 'x' || CAST(price AS STRING)
-    WHEN pos % 4 = 2 THEN upper(name) || ' Rs ' || CAST(price AS STRING) ELSE upper(name) || ' ' || CAST(price AS STRING) END FROM ({items}) i
-UNION ALL SELECT o_orderkey, 99, 'AMT 7.25' FROM {orders}
-UNION ALL SELECT o_orderkey, 100, CASE WHEN o_orderkey % 6 = 0 THEN 'GRAND TOTAL ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) WHEN o_orderkey % 6 = 1 THEN 'TOTAL'
+    WHEN o_orderkey % 5 = 3 THEN 'DATE 31/02/2024' ELSE 'NO DAY HERE' END""",
+}
+BELOW = {
+    99: "'AMT 7.25'",
+    100: """CASE WHEN o_orderkey % 6 = 0 THEN 'GRAND TOTAL ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) WHEN o_orderkey % 6 = 1 THEN 'TOTAL'
     WHEN o_orderkey % 6 = 2 THEN 'SUBTOTAL 1.00' WHEN o_orderkey % 6 = 3 THEN 'NET AMOUNT Rs. ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)
-    WHEN o_orderkey % 6 = 4 THEN 'BALANCE DUE 10.00' ELSE 'THE END' END FROM {orders}
-UNION ALL SELECT o_orderkey, 101, CASE WHEN o_orderkey % 6 = 1 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)
-    WHEN o_orderkey % 6 = 2 THEN 'TOTAL DUE ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) WHEN o_orderkey % 6 = 4 THEN 'CASH 50.00' ELSE 'PAID' END FROM {orders}
-"""
+    WHEN o_orderkey % 6 = 4 THEN 'BALANCE DUE 10.00' ELSE 'THE END' END""",
+    101: """CASE WHEN o_orderkey % 6 = 1 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)
+    WHEN o_orderkey % 6 = 2 THEN 'TOTAL DUE ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) WHEN o_orderkey % 6 = 4 THEN 'CASH 50.00' ELSE 'PAID' END""",
+}
+PRINTED = "{orders} JOIN {customer} ON o_custkey = c_custkey"
+ITEM_LINES = """SELECT receipt_id, 3 + pos AS pos, CASE WHEN pos % 4 = 3 THEN upper(name) || ' ' || CAST(quantity AS STRING) || 'x' || CAST(price AS STRING)
+    WHEN pos % 4 = 2 THEN upper(name) || ' Rs ' || CAST(price AS STRING) ELSE upper(name) || ' ' || CAST(price AS STRING) END AS line FROM ({items}) i"""
+LINES = ITEM_LINES + "".join(f"\nUNION ALL SELECT o_orderkey, {pos}, {line} FROM {PRINTED}" for pos, line in (ABOVE | BELOW).items())
+#: The same, an array above and an array below the items: orders are read once.
+FRAMES = f"SELECT o_orderkey AS receipt_id, array({', '.join(ABOVE.values())}) AS above, array({', '.join(BELOW.values())}) AS below FROM {PRINTED}"
 
 TABLES = ("orders", "customer", "lineitem", "part", "documents", "events", "pages", "benchmark", "embeddings", "supplier", "conversations")
 

@@ -79,16 +79,13 @@ def canonical_store(spark, sf_dir):
     return view(spark, sf_dir, STORE).select("id", T.canonical_store(F.col("name")).alias("store_key"))
 
 
-ASCII = "regexp_replace({c}, '[^\\x00-\\x7F]', '', 'g')"
+#: Compared text in DuckDB: case folded (of the tables' letters only the sharp s folds beyond lower case), white space squeezed.
+FOLDED = "trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 
 
-def ascii(c):
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
-
-
-@query(f"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower({ASCII.format(c='text')}), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS sha256 FROM documents")
+@query(f"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace({FOLDED}, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS sha256 FROM documents")
 def eval_text_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.evaluation_text(ascii(F.col("text")), punctuation=True), 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.evaluation_text(F.col("text"), punctuation=True), 256).alias("sha256"))
 
 
 @query("""SELECT page_id, substr(CASE WHEN t <> '' THEN t ELSE 'unnamed' END, 1, 250) AS name FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9_.\\-/ ]+', '_', 'g'), '\\s+', '_', 'g'), '^[._\\-/]+|[._\\-/]+$', '', 'g') AS t FROM pages)""")
@@ -107,10 +104,10 @@ def redact_secrets(spark, sf_dir):
     return d.unionAll(c).select("id", F.sha2(r, 256).alias("sha256"), (F.col("text") != r).alias("changed"))
 
 
-@query(f"SELECT doc_id, length(regexp_replace({ASCII.format(c='text')}, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace({ASCII.format(c='text')}, '[^0-9]', '', 'g')) AS digits FROM documents")
+@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\\p{Nd}]', '', 'g')) AS digits FROM documents")
 def char_class_counts(spark, sf_dir):
-    a = ascii(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.letters(a).cast("bigint").alias("letters"), T.digits(a).cast("bigint").alias("digits"))
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.letters(t).cast("bigint").alias("letters"), T.digits(t).cast("bigint").alias("digits"))
 
 
 #: Whole words of digits with an optional decimal part, so that look-around and \\b agree.
@@ -142,34 +139,39 @@ def url_file_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.url_file_id(F.col("url"), "/en/", "utm_source").alias("file_id"))
 
 
-#: Reference texts and damaged copies, ASCII and lower case so that bytes are characters.
-DAMAGED = """SELECT item_id, r, CASE WHEN item_id % 4 = 0 THEN r ELSE replace(replace(r, 'the ', CASE WHEN item_id % 4 = 1 THEN 'teh ' ELSE '' END), ' on', ' of on') END AS h
-FROM (SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ''{g}), ' +', ' '{g})) AS r FROM {{benchmark}}) b"""
-DAMAGED_DUCK = oracle(DAMAGED.format(g=", 'g'"))
-DAMAGED_SPARK = DAMAGED.format(g="")
-_CODE = "array_to_string(list_transform(string_split({c}, ' '), lambda w: chr(CAST(33 + list_position(v, w) AS INTEGER))), '')"
-WORDS = f"""WITH d AS ({DAMAGED_DUCK}), e AS (SELECT *, list_distinct(list_concat(string_split(r, ' '), string_split(h, ' '))) AS v FROM d),
-w AS (SELECT item_id, levenshtein({_CODE.format(c='r')}, {_CODE.format(c='h')}) AS distance, len(string_split(r, ' ')) AS words FROM e) """
+#: Whole turns as compared texts, and damaged copies: in some turns words become one that no text has, in some words go.
+DAMAGED = f"""SELECT conv_id, turn, r, array_to_string(list_filter(list_transform(ws, lambda w, i: CASE WHEN i % 7 = 4 AND turn % 2 = 1 THEN 'xq' ELSE w END), lambda w, i: NOT (i % 11 = 6 AND conv_id % 3 = 1)), ' ') AS h, len(ws) AS words
+FROM (SELECT conv_id, turn, {FOLDED} AS r, string_split({FOLDED}, ' ') AS ws FROM conversations) t"""
+#: Letters beyond ASCII as capitals, which folded texts lack: the distance there counts bytes.
+_BYTES = "translate({c}, 'éèüêçäöóñí', 'ABCDEFGHIJ')"
+CER = f"SELECT conv_id, turn, levenshtein({_BYTES.format(c='r')}, {_BYTES.format(c='h')}) AS distance, length(r) AS length FROM ({DAMAGED})"
+#: Each foreign word takes an edit and each missing one another, and so many are enough.
+WER = f"SELECT conv_id, turn, len(list_filter(string_split(h, ' '), lambda w: w = 'xq')) + words - len(string_split(h, ' ')) AS distance, words FROM ({DAMAGED})"
+
+
+def damaged(spark, sf_dir):
+    text = T.evaluation_text(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("r"), F.split(text, " ").alias("ws"))
+    swapped = F.transform("ws", lambda w, i: F.when((i % 7 == 3) & (F.col("turn") % 2 == 1), "xq").otherwise(w))
+    return rows.select("conv_id", "turn", "r", F.array_join(F.filter(swapped, lambda w, i: ~((i % 11 == 5) & (F.col("conv_id") % 3 == 1))), " ").alias("h"))
 
 
-@query(f"SELECT item_id, levenshtein(r, h) AS distance, length(r) AS length, round(levenshtein(r, h) / greatest(1, length(r)), 6) AS cer FROM ({DAMAGED_DUCK})")
+@query(f"SELECT conv_id, turn, distance, length, round(distance / greatest(1, length), 6) AS cer FROM ({CER})")
 def cer_per_document(spark, sf_dir):
-    d = view(spark, sf_dir, DAMAGED_SPARK).select("item_id", F.levenshtein("r", "h").cast("bigint").alias("distance"), F.length("r").cast("bigint").alias("length"))
-    return d.withColumn("cer", F.round(F.col("distance") / F.greatest(F.lit(1), F.col("length")), 6))
+    return evaluation.error_rates(damaged(spark, sf_dir), "r", "h").select("conv_id", "turn", F.col("char_distance").alias("distance"), F.col("reference_chars").alias("length"), "cer")
 
 
-@query(f"SELECT CAST(sum(levenshtein(r, h)) AS BIGINT) AS edits, CAST(sum(length(r)) AS BIGINT) AS reference, round(sum(levenshtein(r, h)) / greatest(1, sum(length(r))), 6) AS corpus_cer FROM ({DAMAGED_DUCK})")
+@query(f"SELECT CAST(sum(distance) AS BIGINT) AS edits, CAST(sum(length) AS BIGINT) AS reference, round(sum(distance) / greatest(1, sum(length)), 6) AS corpus_cer FROM ({CER})")
 def corpus_cer(spark, sf_dir):
     return evaluation.corpus_metric(cer_per_document(spark, sf_dir), "distance", "length", "corpus_cer")
 
 
-@query(WORDS + "SELECT item_id, distance, words, round(distance / greatest(1, words), 6) AS wer FROM w")
+@query(f"SELECT conv_id, turn, distance, words, round(distance / greatest(1, words), 6) AS wer FROM ({WER})")
 def wer_per_document(spark, sf_dir):
-    d = view(spark, sf_dir, DAMAGED_SPARK).select("item_id", T.word_distance(F.col("r"), F.col("h")).cast("bigint").alias("distance"), T.word_count(F.col("r")).cast("bigint").alias("words"))
-    return d.withColumn("wer", F.round(F.col("distance") / F.greatest(F.lit(1), F.col("words")), 6))
+    return evaluation.error_rates(damaged(spark, sf_dir), "r", "h").select("conv_id", "turn", F.col("word_distance").alias("distance"), F.col("reference_words").alias("words"), "wer")
 
 
-@query(WORDS + "SELECT CAST(sum(distance) AS BIGINT) AS edits, CAST(sum(words) AS BIGINT) AS reference, round(sum(distance) / greatest(1, sum(words)), 6) AS corpus_wer FROM w")
+@query(f"SELECT CAST(sum(distance) AS BIGINT) AS edits, CAST(sum(words) AS BIGINT) AS reference, round(sum(distance) / greatest(1, sum(words)), 6) AS corpus_wer FROM ({WER})")
 def corpus_wer(spark, sf_dir):
     return evaluation.corpus_metric(wer_per_document(spark, sf_dir), "distance", "words", "corpus_wer")
 

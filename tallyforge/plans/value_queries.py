@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from tallyforge.config import Confidence
 from tallyforge.functions import values as V
 from tallyforge.operators import cleaning, dedup, regions, scoring, tracking
 from tallyforge.plans.registry import query
 from tallyforge.plans.stand_ins import ITEMS, RECEIPTS, oracle, table, view
-from tallyforge.sources import files
+from tallyforge.sources import files, images
 from tallyforge.streaming import receipts as streaming
 
 
@@ -21,9 +22,9 @@ def scan_filter_sorted(spark, sf_dir):
 
 @query("SELECT event_id, CASE WHEN event_id % 10 <> 0 AND json_valid(props) THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_id % 10 = 0 AS corrupt FROM events")
 def json_scan_permissive(spark, sf_dir):
-    raw = F.when(F.col("event_id") % 10 == 0, F.substring("props", 2, 100)).otherwise(F.col("props"))
-    parsed = F.from_json(raw, "k bigint, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return table(spark, sf_dir, "events").select("event_id", parsed.alias("p")).select("event_id", "p.k", F.col("p._corrupt").isNotNull().alias("corrupt"))
+    raw = F.when(F.col("event_id") % 10 == 0, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+    made = files.parsed(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "raw", StructType().add("k", LongType()))
+    return made.select("event_id", "k", F.col("_corrupt").isNotNull().alias("corrupt"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -47,12 +48,20 @@ def metrics_long_unpivot(spark, sf_dir):
     return tracking.unpivoted(wide, ["event_type"], ["events", "mean", "greatest"])
 
 
-@query("""SELECT count(*) AS total, count(*) FILTER (n_chars BETWEEN 50 AND 20000) AS valid, count(*) FILTER (n_chars = 0) AS empty, round(count(*) FILTER (n_chars BETWEEN 50 AND 20000) / count(*), 6) AS validity_rate,
-  min(n_chars) AS least, max(n_chars) AS greatest, round(avg(n_chars), 6) AS mean FROM documents""")
+#: Images as a dataset folder might hold them: PNG headers of sizes that repeat, some files cut, empty, or of another suffix.
+_BIG = "lpad(hex({n}), 8, '0')"
+PICTURES = f"""SELECT lpad(CAST(doc_id AS STRING), 12, '0') || CASE WHEN doc_id % 13 = 0 THEN '.gif' ELSE '.PNG' END AS path, CASE WHEN doc_id % 11 = 0 THEN unhex('') WHEN doc_id % 7 = 0 THEN unhex('89504E47')
+  ELSE unhex('89504E470D0A1A0A0000000D49484452' || {_BIG.format(n="doc_id % 50 + 1")} || {_BIG.format(n="doc_id % 20 + 1")} || '0802000000') END AS content FROM {{documents}}"""
+
+
+@query(f"""WITH p AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 7 = 0 THEN 4 ELSE 29 END AS size, CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN doc_id % 50 + 1 END AS w, CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN doc_id % 20 + 1 END AS h,
+  doc_id % 13 <> 0 AS known FROM documents), d AS (SELECT *, row_number() OVER (PARTITION BY size, w, h ORDER BY path) > 1 AS dup FROM p)
+SELECT count(*) AS total, count(*) FILTER (known AND size = 29) AS valid, count(*) FILTER (size = 4) AS is_corrupt, count(*) FILTER (size = 0) AS is_empty, count(*) FILTER (dup) AS is_duplicate, round(count(*) FILTER (known AND size = 29) / count(*), 6) AS validity_rate, round(sum(size) / 1048576, 4) AS size_mb,
+  CAST(min(w) AS INTEGER) AS min_width, CAST(max(w) AS INTEGER) AS max_width, round(avg(w), 6) AS mean_width, CAST(min(h) AS INTEGER) AS min_height, CAST(max(h) AS INTEGER) AS max_height, round(avg(h), 6) AS mean_height FROM d""")
 def data_validation_stats(spark, sf_dir):
-    ok = F.col("n_chars").between(50, 20000)
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if(F.col("n_chars") == 0).alias("empty"), F.round(F.count_if(ok) / F.count("*"), 6).alias("validity_rate"),
-                                                 F.min("n_chars").alias("least"), F.max("n_chars").alias("greatest"), F.round(F.avg("n_chars"), 6).alias("mean"))
+    found = view(spark, sf_dir, PICTURES).withColumn("length", F.length("content").cast("bigint"))
+    out = images.statistics(images.validate(found))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_width", "mean_height")})
 
 
 @query("""SELECT l_orderkey AS receipt_id, count(*) AS regions, count(*) FILTER (l_discount * 10 BETWEEN 0.30 AND 1.0 AND l_returnflag <> 'N') AS kept FROM lineitem GROUP BY 1""")
@@ -92,6 +101,16 @@ def confidence_clip(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", made["value"].alias("confidence"), made["valid"].alias("valid"))
 
 
+SHOWN = "CASE event_id % 7 WHEN 0 THEN 'abc' WHEN 1 THEN NULL WHEN 2 THEN '-0.5' WHEN 3 THEN '250' ELSE CAST(event_id % 101 AS STRING) END"
+
+
+@query(f"""SELECT event_id, confidence, CASE WHEN confidence IS NULL THEN '—' ELSE printf('%.1f', confidence * 100) || '%' END AS shown, CASE WHEN x IS NULL THEN '—' ELSE printf('%.2f', x) END AS amount
+FROM (SELECT event_id, x, greatest(0.0, least(1.0, CASE WHEN x > 1 THEN x / 100 ELSE x END)) + x * 0 AS confidence FROM (SELECT event_id, try_cast({SHOWN} AS DOUBLE) AS x FROM events))""")
+def confidence_shown(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(SHOWN).alias("raw"))
+    return rows.select("event_id", V.shown_confidence(F.col("raw")).alias("confidence"), V.percent_text(F.col("raw")).alias("shown"), V.money_text(F.col("raw")).alias("amount"))
+
+
 FLAG = "CASE event_id % 8 WHEN 0 THEN 'true' WHEN 1 THEN ' YES ' WHEN 2 THEN '0' WHEN 3 THEN 'No' WHEN 4 THEN event_type WHEN 5 THEN '1' WHEN 6 THEN 'n' ELSE NULL END"
 
 
@@ -118,9 +137,9 @@ def safe_float(spark, sf_dir):
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.missing'), json_extract_string(props, '$.k'), event_type) AS value, list_contains(json_keys(props), 'k') AS has_k, list_contains(json_keys(props), 'missing') AS has_missing FROM events")
 def json_fallback_get(spark, sf_dir):
-    keys = F.json_object_keys("props")
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.missing"), F.get_json_object("props", "$.k"), F.col("event_type")).alias("value"),
-                                                 F.array_contains(keys, "k").alias("has_k"), F.array_contains(keys, "missing").alias("has_missing"))
+    has_k, has_missing = files.present("k", "missing")
+    value = F.coalesce(files.first_given("props", "missing", "k"), F.col("event_type"))
+    return files.keyed(table(spark, sf_dir, "events"), "props").select("event_id", value.alias("value"), has_k.alias("has_k"), has_missing.alias("has_missing"))
 
 
 @query("""WITH r AS (SELECT vec_id, unnest(range(4)) AS pos, embedding FROM embeddings) SELECT vec_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos < 3 THEN 't' || pos ELSE '' END AS text,

@@ -33,26 +33,49 @@ def scan_images(spark: SparkSession, folder: str, recursive: bool = True, suffix
     return raw.where(suffix(F.col("path")).isin(*suffixes)).withColumn("receipt_id", stem(F.col("path")))
 
 
+def parsed(df: DataFrame, raw: str, schema: StructType) -> DataFrame:
+    """Columns of ``schema`` from JSON texts; a malformed or non-object text is null in all and stands whole in ``_corrupt``."""
+    full = StructType([*schema.fields]).add("_corrupt", "string")
+    made = F.from_json(raw, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    held = df.withColumn("__parsed", F.when(F.json_object_keys(raw).isNotNull(), made))
+    broken = F.col("__parsed").isNull() | F.col("__parsed._corrupt").isNotNull()
+    return held.select(*(F.col(c) for c in df.columns if c != raw), *(F.when(~broken, F.col(f"__parsed.{f.name}")).alias(f.name) for f in schema.fields), F.when(broken, F.col(raw)).alias("_corrupt"))
+
+
+def texts(spark: SparkSession, folder: str, excluded: Iterable[str] = (), recursive: bool = True) -> DataFrame:
+    """One row per JSON file: ``source_file`` and its whole text; manifests are excluded by name."""
+    read = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.json")
+    out = read.text(folder).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
+    names = [n for n in excluded]
+    return out.where(~F.element_at(F.split("source_file", "/"), -1).isin(*names)) if names else out
+
+
 def scan_json(spark: SparkSession, folder: str, schema: StructType, excluded: Iterable[str] = (), recursive: bool = True) -> DataFrame:
     """One row per JSON document; a malformed or non-object file becomes a row with ``_corrupt``.
 
-    Manifests are excluded by name. ``source_file`` is the ordering key of the duplicate policies.
+    ``source_file`` is the ordering key of the duplicate policies.
     """
-    full = StructType([*schema.fields]).add("_corrupt", "string")
-    raw = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    raw = raw.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.json").json(folder)
-    out = raw.withColumn("source_file", F.col("_metadata.file_path"))
-    names = [n for n in excluded]
-    return out.where(~F.element_at(F.split("source_file", "/"), -1).isin(*names)) if names else out
+    return parsed(texts(spark, folder, excluded, recursive), "raw", schema)
+
+
+def keyed(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds the top-level keys of JSON texts, and whether the text is no object at all."""
+    return df.withColumn("keys", F.json_object_keys(raw)).withColumn("load_failed", F.col("keys").isNull())
+
+
+def present(*names: str) -> list[Column]:
+    """Whether each name is a key, after ``keyed``; a null value is present."""
+    return [F.coalesce(F.array_contains("keys", n), F.lit(False)) for n in names]
+
+
+def first_given(raw: str, *paths: str) -> Column:
+    """The value at the first path that has one, as text."""
+    return F.coalesce(*(F.get_json_object(raw, f"$.{p}") for p in paths))
 
 
 def scan_documents(spark: SparkSession, folder: str, excluded: Iterable[str] = ()) -> DataFrame:
     """Raw JSON texts with their top-level keys, where absent, null and wrong type must be told apart."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
-    out = raw.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
-    out = out.withColumn("keys", F.json_object_keys("raw")).withColumn("load_failed", F.col("keys").isNull())
-    names = [n for n in excluded]
-    return out.where(~F.element_at(F.split("source_file", "/"), -1).isin(*names)) if names else out
+    return keyed(texts(spark, folder, excluded))
 
 
 #: Keys that a canonical document must have.

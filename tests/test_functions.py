@@ -85,6 +85,60 @@ def test_word_distance(spark):
     assert row["d"] == 2
 
 
+def test_word_distance_over_many_words(spark):
+    """More distinct words than the basic plane holds; the distance is still exact."""
+    a = [f"w{i}" for i in range(40_000)]
+    b = a[:100] + ["new", *a[101:5000], *a[5003:]]
+    df = spark.createDataFrame([(" ".join(a[:36_000]), " ".join(b[:35_997])), (" ".join(f"x{i}" for i in range(37_000)), "")], "a string, b string")
+    got = df.select(T.word_distance(F.substring_index("a", " ", 50), F.substring_index("b", " ", 52)).alias("d"), T.words(F.col("a")).alias("w")).first()
+    assert got["d"] == 2 and len(got["w"]) == 36_000
+    tail = spark.createDataFrame([(" ".join(a[:38_000]), "zz w1 w37999")], "a string, b string").select(T.word_distance(F.col("a"), F.col("b")).alias("d")).first()
+    assert tail["d"] == 38_000 - 2
+
+
+def test_word_distance_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choices("a b c d é 日".split(), k=rng.randint(0, 9))), " ".join(rng.choices("a b c d é 日".split(), k=rng.randint(0, 9)))) for _ in range(60)]
+
+    def brute(x, y):
+        d = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            last, d[0] = d[0], i
+            for j, q in enumerate(y, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (p != q))
+        return d[-1]
+
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.word_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r["d"] == brute(r["a"].split(), r["b"].split()) for r in got)
+
+
+def test_casefold_everywhere(spark):
+    """Every code point but surrogates, and words where lower case depends on neighbours."""
+    texts = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000] + ["Straße", "STRASSE", "ΣΑΣ", "ΑΣ Σ", "İstanbul", "ﬁn", "ẞ", "ᏸᎠ", "ǰ", "Plain TEXT"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.casefold(F.col("t")).alias("f")).collect()
+    wrong = [(texts[r["i"]], r["f"]) for r in rows if r["f"] != texts[r["i"]].casefold()]
+    assert len(wrong) <= 60 and all(len(t) == 1 for t, _ in wrong), wrong[:20]  # letters newer than the JVM's Unicode version
+    assert one(spark, None, T.casefold) is None
+
+
+def test_evaluation_compares_folded_text(spark):
+    from tallyforge.operators import evaluation
+
+    df = spark.createDataFrame([("Straße  Markt", "STRASSE MARKT"), ("Café, bar!", "café bar"), (None, "x"), ("", "")], "a string, b string")
+    got = df.select(evaluation.strings_match(F.col("a"), F.col("b")).alias("m"), T.evaluation_text(F.col("a"), punctuation=True).alias("p")).collect()
+    assert [r["m"] for r in got] == [True, False, False, True]
+    assert [r["p"] for r in got] == ["strasse markt", "café bar", None, ""]
+
+
+def test_similarity_of_names(spark):
+    df = spark.createDataFrame([("", ""), ("a", ""), ("milk", "milk"), ("milk", "mild"), ("abcdefghij", "abcdefghxy"), ("abcdefghij", "abcdefgxyz")], "a string, b string")
+    got = df.select(T.similarity(F.col("a"), F.col("b")).alias("s"), T.similarity(F.col("a"), F.col("b"), 0.8).alias("t")).collect()
+    assert [round(r["s"], 6) for r in got] == [0.0, 0.0, 1.0, 0.75, 0.8, 0.7]
+    assert [round(r["t"], 6) for r in got] == [0.0, 0.0, 1.0, 0.0, 0.8, 0.0]
+
+
 def test_redact(spark):
     assert one(spark, "https://u:p@h.io/x?token=abc&y=1 Bearer abc.def api-key = zz", T.redact) == "https://***:***@h.io/x?token=***&y=1 Bearer *** api-key=***"
 
@@ -138,7 +192,7 @@ def test_arrow_functions(spark):
     from tallyforge.operators import evaluation
 
     df = spark.createDataFrame([("abcd", "bcde", 2.675, "Straße", '{"a": [{"api-key": "x", "n": NaN}], "b": 1}'), (None, "x", None, None, "broken")], "a string, b string, x double, s string, j string")
-    rows = df.select(arrow.sequence_ratio(F.col("a"), F.col("b")).alias("r"), arrow.py_round(F.col("x"), 2).alias("x"), arrow.casefold(F.col("s")).alias("s"), arrow.redact_json(F.col("j")).alias("j")).collect()
+    rows = df.select(arrow.sequence_ratio(F.col("a"), F.col("b")).alias("r"), arrow.py_round(F.col("x"), 2).alias("x"), T.casefold(F.col("s")).alias("s"), arrow.redact_json(F.col("j")).alias("j")).collect()
     assert (rows[0]["r"], rows[0]["x"], rows[0]["s"]) == (0.75, 2.67, "strasse")
     assert rows[0]["j"] == '{"a": [{"api-key": "***", "n": null}], "b": 1}'
     assert rows[1]["s"] is None and rows[1]["j"] is None
