@@ -44,11 +44,12 @@ FAMILIES = sorted(TEMPLATES)
 UNKNOWN = "unknown"
 #: What makes a line that no family explains an unknown licence.
 MENTION = r"(?i)\b(?:licen[cs]e[ds]?|unlicense|copyright|redistribut\w*|permission|public domain|all rights reserved|creative commons|proprietary|unencumbered|cc0|spdx\w*)\b"
-#: Bound of the training paragraphs, of kept weights per family, and the share of template words that confirms.
+#: Bound of the training paragraphs, of kept weights per class (321 of 1,071 grams stay; of 900 other paragraphs 99.2 % are
+#: right with them and 99.1 % with all), the share of template words that confirms, and the least probability.
 PARAGRAPHS, WEIGHTS, CONFIRM, CERTAIN = 3000, 40, 0.6, 0.5
 WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
-#: Words too frequent to look for, where a template leaves the choice.
-COMMON = frozenset("a all and any are as at be by for form from in is it of or that the this to under use was with without you".split())
+#: Words too frequent to look for, where a template leaves the choice (one of them in German).
+COMMON = frozenset("a all and any are as at be by for form from in is it mit of or that the this to under use was with without you".split())
 #: Words that windows take before and after an anchored line. The longest template has 27 words.
 AROUND = (0, 16, 32, 48)
 #: SPDX identifiers (small letters) of each family, and a tag with its expression.
