@@ -154,11 +154,11 @@ def shown_confidence(c: Column) -> Column:
 
 def percent_text(c: Column) -> Column:
     """A shown confidence in per cent with one digit; a dash where there is none."""
-    return F.coalesce(F.concat(F.format_number(shown_confidence(c) * 100, "0.0"), F.lit("%")), F.lit("\u2014"))
+    return F.coalesce(F.concat(F.call_function("format_number", shown_confidence(c) * 100, F.lit("0.0")), F.lit("%")), F.lit("\u2014"))
 
 
 def money_text(c: Column) -> Column:
     """An amount with two digits, without grouping; a dash where it is no finite number."""
     number = c.try_cast("double")
     finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-    return F.coalesce(F.format_number(finite, "0.00"), F.lit("\u2014"))
+    return F.coalesce(F.call_function("format_number", finite, F.lit("0.00")), F.lit("\u2014"))

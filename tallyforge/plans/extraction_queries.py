@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import extraction, scoring
-from tallyforge.plans.registry import query
+from tallyforge.plans.registry import ORACLES, query
 from tallyforge.plans.stand_ins import FRAMES, ITEM_LINES, ITEMS, LINES, oracle, table, view
 
 ADDRESS = "(regexp_matches({c}, '\\b\\d{{5,}}\\b') OR regexp_matches({c}, '(?i)\\b\\d+\\s+[A-Z][A-Z0-9\\- ]{{2,}}\\b') OR regexp_matches({c}, '(?i)\\b(?:ST|STREET|ROAD|RD|AVE|AVENUE|DR|DRIVE|BLVD|LN|LANE|CT|COURT|CIR|HIGHWAY|HWY)\\b'))"
@@ -119,6 +119,16 @@ def extraction_with_sources(spark, sf_dir):
     return out.select(F.col("order").alias("receipt_id"), "extracted_total", F.col("raw_total").cast("double").alias("raw_total"), "cleaned_name", "has_raw", "has_cleaned")
 
 
+@query(f"""SELECT t.receipt_id, CASE WHEN (v.value IS NULL) AND (d.value IS NULL) AND (t.value IS NULL) AND n IS NULL THEN 'failed' WHEN v.value IS NULL OR d.value IS NULL OR t.value IS NULL OR n IS NULL THEN 'partial' ELSE 'success' END AS status,
+  array_to_string(list_filter([CASE WHEN v.value IS NULL THEN 'vendor_missing' END, CASE WHEN d.value IS NULL THEN 'date_missing' END, CASE WHEN t.value IS NULL THEN 'total_missing' END, CASE WHEN n IS NULL THEN 'items_missing' END,
+    CASE WHEN n > 0 AND abs(s - t.value) > greatest(1.0, t.value * 0.05) THEN 'item_sum_total_mismatch' END], lambda x: x IS NOT NULL), ';') AS warnings, coalesce(n, 0) AS item_count
+FROM ({ORACLES['extract_total']}) t LEFT JOIN ({ORACLES['extract_vendor']}) v ON v.receipt_id = t.receipt_id LEFT JOIN ({ORACLES['extract_date']}) d ON d.receipt_id = t.receipt_id
+LEFT JOIN (SELECT receipt_id, count(*) AS n, sum(price) AS s FROM ({ORACLES['extract_items']}) GROUP BY 1) i ON i.receipt_id = t.receipt_id""")
+def extraction_status(spark, sf_dir):
+    out = extraction.extract(receipts(spark, sf_dir))
+    return out.select("receipt_id", "status", F.array_join("warnings", ";").alias("warnings"), F.col("item_count").cast("bigint").alias("item_count"))
+
+
 @query(None)
 def canonical_documents(spark, sf_dir):
     """Printed receipts through extraction, scoring and canonical JSON; unit tests hold the parts, this query the whole plan."""

@@ -182,3 +182,25 @@ def amount_normalize(spark, sf_dir):
 def amount_half_even(spark, sf_dir):
     x = (F.col("l_extendedprice").cast("decimal(18,2)") * F.lit("0.125").cast("decimal(4,3)")).cast("string")
     return table(spark, sf_dir, "lineitem").groupBy(F.lower("l_returnflag").alias("flag"), "l_linenumber").agg(F.sum(V.money_half_even(x)).cast("double").alias("total"))
+
+
+@query(f"""WITH r AS ({oracle(RECEIPTS)}), v AS (SELECT *, try_cast(total_amount AS DOUBLE) AS t, try_cast(overall_confidence AS DOUBLE) AS c, length(source_file) AS n FROM r)
+SELECT source_file, array_to_string(list_filter([CASE WHEN date IS NOT NULL AND (NOT regexp_full_match(date, '\\d{{4}}-\\d{{2}}-\\d{{2}}') OR try_strptime(date, '%Y-%m-%d') IS NULL) THEN 'date_invalid' END, CASE WHEN review_required = 'yes' THEN 'item_price_invalid' END,
+  CASE WHEN review_required = 'No' THEN 'items_missing' END, CASE WHEN c IS NULL OR NOT c BETWEEN 0 AND 1 THEN 'overall_confidence_invalid' END, CASE WHEN validation_status IS NULL THEN 'receipt_id_missing' END,
+  CASE WHEN store_name IS NOT NULL AND validation_status = 'failed' THEN 'store_name_empty' END, CASE WHEN t > 100000 THEN 'total_amount_invalid' END], lambda x: x IS NOT NULL), ';') AS errors FROM v""")
+def canonical_validation(spark, sf_dir):
+    """Error codes of canonical documents with every kind of fault."""
+    rows = view(spark, sf_dir, RECEIPTS)
+    total = F.col("total_amount").try_cast("double")
+    price = F.when(F.col("review_required") == "yes", -1.0).otherwise(1.0)
+    items = F.when(F.coalesce(F.col("review_required") != "No", F.lit(True)), F.array(F.struct(price.alias("price"))))
+    store = F.when(F.col("store_name").isNotNull() & (F.col("validation_status") == "failed"), "  ").otherwise(F.col("store_name"))
+    rid = F.when(F.col("validation_status").isNotNull(), F.col("receipt_id"))
+    errors = canonical.validation_errors(store, F.col("date"), F.when(total > 100000, -total).otherwise(total), F.col("overall_confidence").try_cast("double"), items, rid)
+    return rows.select("source_file", F.array_join(errors, ";").alias("errors"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'empty' WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 > 0 THEN 'failed' WHEN o_orderkey % 7 = 0 OR o_orderkey % 2 > 0 OR o_orderkey % 5 > 0 THEN 'partial' ELSE 'success' END AS status FROM orders""")
+def summary_status(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", financial.status(k % 4, k % 3, k % 2, k % 5, k % 7 != 0).alias("status"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge.functions import arrow
 from tallyforge.functions import text as T
 from tallyforge.functions import values as V
 from tallyforge.operators import cleaning, dedup, evaluation, extraction, scoring
@@ -16,9 +17,27 @@ MISREAD = """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'T0TAL' WHEN 1
   WHEN 5 THEN 'Rs. ' || CAST(o_custkey AS STRING) || ' and INR ' || CAST(o_custkey AS STRING) WHEN 6 THEN 'RS 120' WHEN 7 THEN 'pay I N R now' WHEN 8 THEN 'INVCICE' ELSE 'Milk 40' END AS line FROM {orders}"""
 
 
-@query(None)
+@query("SELECT doc_id, sha256(nfc_normalize(text)) AS sha256 FROM documents")
 def nfkc_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.nfkc(F.col("text")), 256).alias("sha256"))
+    """Texts with a ligature, full-width digits and a decomposed letter put in, which NFKC takes out again."""
+    text = F.replace(F.replace("text", F.lit("fi"), F.lit("\ufb01")), F.lit("\u00e9"), F.lit("e\u0301"))
+    wide = F.translate(text, "0123456789", "".join(chr(0xFF10 + i) for i in range(10)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.nfkc(wide), 256).alias("sha256"))
+
+
+@query("SELECT doc_id, sha256(replace(text, ' ', chr(9))) AS sha256 FROM documents")
+def control_strip(spark, sf_dir):
+    text = F.replace("text", F.lit(" "), F.lit("\x07\u200b\t\x00"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.drop_controls(text), 256).alias("sha256"))
+
+
+NESTED = """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '{{broken' ELSE '{{"k": ' || CAST(event_id AS STRING) || ', "Api-Key": "' || event_type || '", "rows": [{{"Session Token": 1.5, "name": "é"}}, [2, {{"user_password": null}}]], "n": null}}' END AS raw FROM {events}"""
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN '{"k": ' || event_id || ', "Api-Key": "***", "rows": [{"Session Token": "***", "name": "é"}, [2, {"user_password": "***"}]], "n": null}' END AS clean FROM events""")
+def redact_nested(spark, sf_dir):
+    rows = view(spark, sf_dir, NESTED)
+    return rows.select("event_id", arrow.redact_json(F.col("raw")).alias("clean"))
 
 
 LINES_SQL = "list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))"
