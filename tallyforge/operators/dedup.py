@@ -10,16 +10,18 @@ from pyspark.sql.window import Window
 def meet(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
     """Rows left-joined to the row of ``table`` that has their key (null equals null); ``count`` tells how many rows a key has.
 
-    A key with more than a quarter of a partition's share of all rows is salted: its rows are dealt
-    over as many parts as it has such quarters, and its row of ``table`` is repeated for each. Such
-    keys number four a partition at most, so they are broadcast.
+    A key with more than a quarter of a partition's share of all rows is salted: its rows are dealt,
+    by a hash of their values, so that a task that runs again deals alike, over as many parts as it has
+    such quarters, and its row of ``table`` is repeated for each. Such keys number four a partition at
+    most, so they are broadcast.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = table.agg(F.greatest(F.lit(1.0), F.sum(count) / (4 * parts)).alias("__share"))
     hot = table.crossJoin(F.broadcast(share)).where(F.col(count) > F.col("__share")).select(F.col(key).alias("__hot"), F.ceil(F.col(count) / F.col("__share")).cast("int").alias("__parts"))
     dealt = lambda df, salt: df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot")), "left").withColumn("__salt", salt).drop("__hot", "__parts")
     one = F.coalesce("__parts", F.lit(1))
-    left = dealt(rows, F.floor(F.rand(5) * one).cast("int"))
+    values = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    left = dealt(rows, F.pmod(F.xxhash64(*values), one).cast("int"))
     right = dealt(table.drop(count), F.explode(F.sequence(F.lit(0), one - 1))).withColumnsRenamed({key: "__key", "__salt": "__other"})
     return left.join(right, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__other")), "left").drop("__key", "__salt", "__other")
 
