@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_map, release, written
+from tallyforge.llm.common import arrow_map, fresh, release, written
 
 #: Base rules: least words, greatest percentage of repeated words.
 LEAST_WORDS, REPEATED = 50, 50
@@ -122,8 +122,8 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id", label: st
                      "key bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, hist binary", make)
 
 
-def references(rows: DataFrame) -> np.ndarray:
-    """Summed histograms, a row per language, of documents that pass the base rules. The driver gets a row per language."""
+def references(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and their summed histograms, a row each, of documents that pass the base rules. The driver gets a row per language."""
     size = len(CLASSES) + len(WORD_AT) + 2
 
     def make():
@@ -138,9 +138,9 @@ def references(rows: DataFrame) -> np.ndarray:
     plain = F.col("n_symbols") * REFERENCE_SYMBOLS <= F.col("n_words")
     parts = arrow_map(rows.where(plain & F.expr("not base_failed and lang is not null")).select("lang", "hist"), "lang string, sums array<bigint>", make)
     summed = parts.groupBy("lang").agg(*(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(size)))
-    out = [list(r)[1:] for r in summed.orderBy("lang").toLocalIterator()]
-    out = [r for r in out if sum(r[len(CLASSES) :]) >= LEAST_REFERENCE]
-    return np.array(out, float).reshape(-1, size)
+    out = [list(r) for r in summed.orderBy("lang").toLocalIterator()]
+    out = [r for r in out if sum(r[1 + len(CLASSES) :]) >= LEAST_REFERENCE]
+    return [r[0] for r in out], np.array([r[1:] for r in out], float).reshape(-1, size)
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -160,19 +160,21 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", labe
     """Base counts, both divergences (to the nearest language), ``base_failed`` and ``kept`` per row.
 
     Null text: no words, so the base rules fail it. Rows without a language are judged like others
-    but add to no reference; without any reference the base rules decide. Empty table: no rows.
+    but add to no reference; a language without a reference, for it has too few words, is left to the
+    base rules. Equal divergences: the first language by name. Repeated rows come out repeated; texts
+    of any length; other columns are ignored, whatever their names. Empty table: no rows.
     """
     rows = written(features(docs, text, key, label), "quality")
     refs = references(rows)
 
     def make():
-        return lambda failed, hists: verdicts(failed, hists, refs)
+        return lambda langs, failed, hists: verdicts(langs, failed, hists, *refs)
 
     return judged(rows, make).withColumnRenamed("key", key)
 
 
-def verdicts(failed: list[bool], hists: list[bytes], refs: np.ndarray) -> dict[str, list]:
-    """Divergences from the nearest reference, and whether each row is kept."""
+def verdicts(langs: list[str | None], failed: list[bool], hists: list[bytes], names: list[str], refs: np.ndarray) -> dict[str, list]:
+    """Divergences from the nearest reference, and whether each row is kept; 0 where the row's language has no reference."""
     if not len(refs) or not hists:
         return {"char_divergence": [0.0] * len(failed), "word_divergence": [0.0] * len(failed), "kept": [not f for f in failed]}
     h = np.frombuffer(b"".join(hists), np.uint32).reshape(len(hists), -1).astype(float)
@@ -182,22 +184,36 @@ def verdicts(failed: list[bool], hists: list[bytes], refs: np.ndarray) -> dict[s
     words[h[:, k:].sum(1) < LEAST_COMMON] = 0
     best = np.maximum(chars / CHARACTERS, words / WORDS).argmin(1)
     at = np.arange(len(best))
-    c, w = chars[at, best], words[at, best]
+    known = np.array([x is None or x in names for x in langs])
+    c, w = np.where(known, chars[at, best], 0.0), np.where(known, words[at, best], 0.0)
     good = (c <= CHARACTERS) & (w <= WORDS) & ~np.array(failed, bool)
     return {"char_divergence": c.tolist(), "word_divergence": w.tolist(), "kept": good.tolist()}
 
 
 def kept(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "lang") -> DataFrame:
-    """Rows that the rules keep, with all their columns; texts are measured once for the references and once for the verdict."""
-    refs = references(features(docs, text, key, label))
+    """Rows that the rules keep, with all their columns, whatever their names.
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
+    Texts are measured once: the counts and histograms that the verdict needs are written beside the
+    rows. Null, empty and short texts go, as the base rules fail them; repeated rows stay or go
+    together; an empty table stays empty.
+    """
+
+    @F.pandas_udf("base_failed boolean, n_words bigint, n_symbols bigint, hist binary")
+    def measured(texts: pd.Series) -> pd.DataFrame:
         release()
-        made = [measure(t or "") for t in texts.tolist()]
-        return pd.Series(verdicts([base_fails(b) for b, _ in made], [h.tobytes() for _, h in made], refs)["kept"], dtype=bool)
+        made = [measure(t or "") for t in texts]
+        rows = [(base_fails(b), b[0], b[2], h.tobytes()) for b, h in made]
+        return pd.DataFrame(rows, columns=["base_failed", "n_words", "n_symbols", "hist"])
+
+    name = fresh(docs.columns, "measured")[0]
+    rows = written(docs.withColumn(name, measured(F.col(text))), "measured")
+    refs = references(rows.select(F.col(label).alias("lang"), f"{name}.*"))
+
+    @F.pandas_udf("boolean")
+    def good(langs: pd.Series, failed: pd.Series, hists: pd.Series) -> pd.Series:
+        return pd.Series(verdicts(langs.tolist(), failed.tolist(), hists.tolist(), *refs)["kept"], dtype=bool)
 
-    return docs.where(good(F.col(text)))
+    return rows.where(good(F.col(label), F.col(f"{name}.base_failed"), F.col(f"{name}.hist"))).select(*docs.columns)
 
 
 def base_fails(base: list[int]) -> bool:
@@ -211,11 +227,11 @@ def judged(rows: DataFrame, make) -> DataFrame:
     def both():
         verdict = make()
 
-        def step(keys, *columns):
+        def step(keys, langs, *columns):
             *base, failed, hists = columns
-            return dict(zip(names, base)) | {"key": keys, "base_failed": failed} | verdict(failed, hists)
+            return dict(zip(names, base)) | {"key": keys, "base_failed": failed} | verdict(langs, failed, hists)
 
         return step
 
-    return arrow_map(rows.select("key", *names, "base_failed", "hist"),
+    return arrow_map(rows.select("key", "lang", *names, "base_failed", "hist"),
                      "key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, char_divergence double, word_divergence double", both)
