@@ -149,6 +149,21 @@ def anchors() -> list[str]:
     return sorted(out)
 
 
+#: How mentions begin, in small letters.
+STEMS = ("licence", "license", "unlicense", "copyright", "redistribut", "permission", "public", "all rights", "creative", "proprietary", "unencumbered", "cc0", "spdx")
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of the words as a tree of their letters, so that a place tries one branch a letter."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        rest.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(c) + any_of(r) for c, r in sorted(rest.items()) if c]
+    if not parts:
+        return ""
+    return (f"(?:{'|'.join(parts)})" if len(parts) > 1 or "" in rest else parts[0]) + ("?" if "" in rest else "")
+
+
 def classify(docs: DataFrame, text: str = "text", into: str = "licenses") -> DataFrame:
     """Adds ``into``: array of ``line`` (from 0), ``family``, ``score`` for each confirmed licence notice.
 
@@ -205,7 +220,7 @@ def classify(docs: DataFrame, text: str = "text", into: str = "licenses") -> Dat
     ids = f"filter(regexp_extract_all(lower({expression}), {quoted(SPDX_ID)}, 0), id -> id NOT IN ('and', 'or'))"
     tagged = f"transform(array_distinct(transform({ids}, id -> {spdx})), f -> named_struct('family', f, 'score', 1D, 'wide', false))"
     each = f"transform(IF(line RLIKE {quoted(SPDX_TAG)}, {tagged}, array({one})), r -> named_struct('line', n, 'family', r.family, 'score', r.score, 'wide', r.wide))"
-    pattern = quoted(r"(?<![a-z0-9.])(?:" + "|".join(re.escape(w) for w in anchors()) + r")(?![a-z0-9])")
+    pattern = quoted(rf"(?<![a-z0-9.]){any_of(anchors())}(?![a-z0-9])")
     anchored = f"filter(transform(lines, (line, n) -> named_struct('line', line, 'n', n)), x -> lower(x.line) RLIKE {pattern} OR x.line RLIKE {quoted(MENTION)})"
     found = f"flatten(transform({anchored}, x -> filter({let('x.line', 'line', let('x.n', 'n', each))}, r -> r.family < {k} OR x.line RLIKE {quoted(MENTION)})))"
     # of the windows that found one family in one paragraph the first stays; paragraphs are numbered by a search among blank lines
@@ -219,7 +234,7 @@ def classify(docs: DataFrame, text: str = "text", into: str = "licenses") -> Dat
     single = let(blanks, "bs", let(wides, "wides", f"array_sort(concat({bare('filter(all, x -> NOT x.wide)')}, {bare(firsts)}))"))
     named = f"transform({single}, x -> named_struct('line', x.line, 'family', IF(x.family < {k}, {names}[x.family], '{UNKNOWN}'), 'score', x.score))"
     whole = let("split(t, '\\\\n')", "lines", let(found, "all", named))
-    any_line = f"lower(t) RLIKE {pattern} OR t RLIKE {quoted(MENTION)}"
+    any_line = f"lower(t) RLIKE {quoted('(?<![a-z0-9])(?:' + any_of(sorted({*anchors(), *STEMS})) + ')')}"  # one search passes over other texts
     bound = let(f"coalesce(`{text}`, '')", "t", f"IF({any_line}, {let(table, 'model', let(templates, 'known', whole))}, array())")
     return docs.withColumn(into, F.expr(bound))
 
