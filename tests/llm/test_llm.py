@@ -703,6 +703,11 @@ def test_anchors_are_complete():
         for words in (set(licenses.words_of(t)) for t in texts):
             assert len(words - held) / len(words) < licenses.CONFIRM
     assert not held & {"the", "of", "and", "mit", "is", "to"}
+    tree = re.compile(licenses.any_of(sorted(held)) + r"(?![a-z0-9.])")
+    assert all(tree.fullmatch(w) for w in held) and not any(tree.fullmatch(w) for w in ("licen", "licenses", "soft", "", "mi", "cca"))
+    first = re.compile(r"(?<![a-z0-9])(?:" + licenses.any_of(sorted({*held, *licenses.STEMS})) + ")")
+    mentions = "licence licences licensed license. (license unlicense Copyright redistributions permission 'public domain' ALL RIGHTS RESERVED creative commons proprietary unencumbered cc0 spdx-id"
+    assert all(first.search(m[0].lower()) for m in re.finditer(licenses.MENTION, mentions)) and len(re.findall(licenses.MENTION, mentions)) >= 13
 
 
 # -- 8: token files --------------------------------------------------------------------------------
