@@ -207,9 +207,8 @@ def word_distance(a: Column, b: Column) -> Column:
     """
 
     def coded(ws: Column, known: Column) -> Column:
-        at = lambda w: place(known, w)
         point = lambda n: F.when(n < 0xD800 - 0x4E00, n + 0x4E00).otherwise(n - (0xD800 - 0x4E00) + 0x10000)
-        return F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(point(at(w))), 8, "0")), "")), "UTF-32")
+        return F.decode(F.unhex(F.array_join(F.transform(F.transform(ws, lambda w: place(known, w)), lambda n: F.lpad(F.hex(point(n)), 8, "0")), "")), "UTF-32")
 
     def both(x: Column) -> Column:
         known = F.array_sort(F.array_distinct(F.concat(x["a"], x["b"])))

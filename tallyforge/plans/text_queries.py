@@ -170,7 +170,9 @@ WER = f"SELECT conv_id, turn, len(list_filter(string_split(h, ' '), lambda w: w
 
 def damaged(spark, sf_dir):
     text = T.evaluation_text(F.col("text"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("r"), F.split(text, " ").alias("ws"))
+    # a distance costs the square of a text's length, so the rows of a small file go over all cores
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    rows = turns.select("conv_id", "turn", text.alias("r"), F.split(text, " ").alias("ws"))
     swapped = F.transform("ws", lambda w, i: F.when((i % 7 == 3) & (F.col("turn") % 2 == 1), "xq").otherwise(w))
     return rows.select("conv_id", "turn", "r", F.array_join(F.filter(swapped, lambda w, i: ~((i % 11 == 5) & (F.col("conv_id") % 3 == 1))), " ").alias("h"))
 
