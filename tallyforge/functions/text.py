@@ -125,8 +125,8 @@ def casefold(c: Column) -> Column:
     old, new, longer = _folds()
     low = F.lower(c)
     one = F.when(low.rlike(f"[{old}]"), F.translate(low, old, new)).otherwise(low)
-    pairs = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in longer))
-    full = F.when(one.rlike("[" + "".join(x for x, _ in longer) + "]"), F.aggregate(pairs, one, lambda t, p: F.replace(t, p["x"], p["y"]))).otherwise(one)
+    pairs = F.split(F.lit(" ".join(x + y for x, y in longer)), " ")
+    full = F.when(one.rlike("[" + "".join(x for x, _ in longer) + "]"), F.aggregate(pairs, one, lambda t, p: F.replace(t, F.substring(p, 1, 1), F.substring(p, 2, 9)))).otherwise(one)
     return F.when(c.rlike(r"[^\x00-\x7F]"), full).otherwise(low)
 
 

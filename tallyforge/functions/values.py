@@ -13,6 +13,11 @@ YMD = r"\b(\d{4})[\/\-.](\d{1,2})[\/\-.](\d{1,2})\b"
 ISO = r"^\d{4}-\d{2}-\d{2}$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, inside array functions too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def safe_float(c: Column, default: float | None = None) -> Column:
     """Finite double, else the default."""
     x = c.try_cast("double")
@@ -31,8 +36,12 @@ def bare_amount(c: Column) -> Column:
 
 def parse_amount(c: Column) -> Column:
     """Non-negative finite double."""
-    x = safe_float(bare_amount(c))
-    return F.when(x >= 0, x)
+    return let(bare_amount(c).try_cast("double"), amount)
+
+
+def amount(x: Column) -> Column:
+    """The number if it is non-negative and finite; no number is over infinity in Spark's order but NaN."""
+    return F.when((x >= 0) & (x < float("inf")), x)
 
 
 def money_half_up(c: Column) -> Column:
@@ -71,14 +80,20 @@ def confidence(c: Column, digits: int = 4) -> Column:
 
 def iso_date(year: Column, month: Column, day: Column) -> Column:
     """``yyyy-MM-dd`` of integer parts, two-digit years in this century; null if no calendar date of 1900 to 2100."""
-    y = F.when(year < 100, year + 2000).otherwise(year)
-    text = F.format_string("%04d-%02d-%02d", y, month, day)
-    return F.when(y.between(1900, 2100) & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
+
+    def made(parts: Column) -> Column:
+        y, m, d = parts[0], parts[1], parts[2]
+        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+        days = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        two = lambda n: F.lpad(n.cast("string"), 2, "0")
+        return F.when(y.between(1900, 2100) & m.between(1, 12) & (d >= 1) & (d <= days), F.concat_ws("-", y.cast("string"), two(m), two(d)))
+
+    return let(F.array(year, month, day), lambda p: let(F.array(F.when(p[0] < 100, p[0] + 2000).otherwise(p[0]), p[1], p[2]), made))
 
 
 def first_date(c: Column) -> Column:
     """First day-first match if it is a date, else first year-first match if it is one."""
-    part = lambda p, i: F.regexp_extract(c, p, i).try_cast("int")
+    part = lambda p, i: F.nullif(F.regexp_extract(c, p, i), F.lit("")).try_cast("int")
     return F.coalesce(iso_date(part(DMY, 3), part(DMY, 2), part(DMY, 1)), iso_date(part(YMD, 1), part(YMD, 2), part(YMD, 3)))
 
 
@@ -131,9 +146,13 @@ def normalize_dates(c: Column) -> Column:
 def amounts(line: Column, low: float = 0.0, high: float = 1_000_000.0) -> Column:
     """All amounts of a line in range, in order; a line that is only a time has none."""
     spaced = F.regexp_replace(line, r"(?<=\d)(?=[A-Za-z])", " ")
-    found = F.transform(F.regexp_extract_all(spaced, F.lit(AMOUNT), F.lit(1)), parse_amount)
-    found = F.filter(found, lambda x: x.between(low, high))
-    return F.when(F.trim(spaced).rlike(f"^{TIME}$"), F.array().cast("array<double>")).otherwise(found)
+    none = F.array().cast("array<double>")
+
+    def found(t: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(t, F.lit(AMOUNT), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
+        return F.when(F.trim(t).rlike(f"^{TIME}$"), none).otherwise(F.filter(numbers, lambda x: amount(x).between(low, high)))
+
+    return F.when(line.rlike(r"(?U)\d"), let(spaced, found)).when(line.isNotNull(), none)
 
 
 def tier(c: Column, medium: float = 0.90, low: float = 0.70) -> Column:

@@ -47,10 +47,11 @@ def validation_errors(store: Column, date: Column, total: Column, overall: Colum
     )))
 
 
-def documents(df: DataFrame, receipt_id: str = "receipt_id", order: str = "source_file") -> DataFrame:
+def documents(df: DataFrame, receipt_id: str = "receipt_id", order: str = "source_file", single: bool = False) -> DataFrame:
     """Canonical documents of scored receipts: normalised, validated, first of each id kept.
 
-    A bad date is a warning and an error at once, so such a document fails validation.
+    A bad date is a warning and an error at once, so such a document fails validation. ``single``: the
+    caller has kept the first of each id already.
     """
     df = df.withColumn("__bad_date", V.date_problem(F.col("transaction_date")))
     total = F.round(F.when(F.col("total_amount") >= 0, F.col("total_amount")), 2)
@@ -70,5 +71,5 @@ def documents(df: DataFrame, receipt_id: str = "receipt_id", order: str = "sourc
                              F.round(F.abs(item_sum - F.col("total_amount")), 2).alias("item_total_difference")),
         "_validation": F.struct(F.when(F.size(errors) == 0, "passed").otherwise("failed").alias("status"), errors.alias("errors")),
     })
-    out = keep_first(df, receipt_id, order)
-    return out.select(receipt_id, order, "store_name", "date", "items", "total_amount", "expected_item_count", "fields", "overall_confidence", "reliability", "review_required", "conflicts", "warnings", "metadata", "_validation")
+    out = df.select(receipt_id, order, "store_name", "date", "items", "total_amount", "expected_item_count", "fields", "overall_confidence", "reliability", "review_required", "conflicts", "warnings", "metadata", "_validation")
+    return out if single else keep_first(out, receipt_id, order)

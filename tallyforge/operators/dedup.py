@@ -27,8 +27,9 @@ def meet(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key in order. A grouped minimum, so a hot key is one row per map task."""
-    return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*df.columns), order).alias("__row")).select("__row.*")
+    """The first row of each key in order, nulls last. A grouped minimum, so a hot key is one row per map task."""
+    place = F.struct(F.col(order).isNull(), order)
+    return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*df.columns), place).alias("__row")).select("__row.*")
 
 
 def drop_ambiguous(df: DataFrame, key: str) -> DataFrame:

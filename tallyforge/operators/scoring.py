@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.config import Confidence
 from tallyforge.functions import text as T
 from tallyforge.functions import values as V
+from tallyforge.functions.values import let
 
 
 def combine(ocr: Column, extraction: Column, pattern: Column, context: Column, conflict: Column, penalty: Column | None = None, config: Confidence = Confidence()) -> Column:
@@ -80,27 +81,37 @@ def with_sources(df: DataFrame, sources: dict[str, tuple[DataFrame, str]]) -> Da
 def best_region(regions: Column, value: Column, source: Column, index: Column) -> Column:
     """Region that supports a value: at its index, else anywhere, by source text, by value, then by containment.
 
-    Struct of ``confidence`` and ``method``. Without any match the mean confidence counts for 0.6.
+    Struct of ``confidence`` and ``method``. Without any match the mean confidence counts for 0.6. Texts
+    that are equal as they stand need no normal form, and the other regions are read only if the one at
+    the index does not support the value.
     """
-    norm = T.evaluation_text
-    v, s = norm(value.cast("string")), norm(source)
-    part = lambda t: t.contains(v) | v.contains(t)
+    norm = lambda t: let(T.squeeze(t), T.casefold)
     here = F.get(regions, index)
-    at = norm(here["cleaned_text"])
-    any_ = lambda test: F.get(F.filter(regions, lambda r: test(norm(r["cleaned_text"]))), F.lit(0))["confidence"]
     made = lambda conf, name: F.struct(conf.cast("double").alias("confidence"), F.lit(name).alias("method"))
-    source_, value_, partial = any_(lambda t: t == s), any_(lambda t: t == v), any_(part)
     mean = F.aggregate(regions, F.lit(0.0), lambda a, r: a + r["confidence"]) / F.size(regions)
-    return (
-        F.when(at == s, made(here["confidence"], "indexed_exact_source"))
-        .when(at == v, made(here["confidence"], "indexed_exact_value"))
-        .when(part(at), made(here["confidence"], "indexed_partial_match"))
-        .when(source_.isNotNull(), made(source_, "global_exact_source"))
-        .when(value_.isNotNull(), made(value_, "global_exact_value"))
-        .when(partial.isNotNull(), made(partial, "global_partial_match"))
-        .when(F.size(regions) > 0, made(0.6 * mean, "receipt_level_fallback"))
-        .otherwise(made(F.lit(0.0), "ocr_evidence_unavailable"))
-    )
+    neither = F.when(F.size(regions) > 0, made(0.6 * mean, "receipt_level_fallback")).otherwise(made(F.lit(0.0), "ocr_evidence_unavailable"))
+
+    def compared(ts: Column) -> Column:
+        s, v, at = ts[0], ts[1], ts[2]
+        part = lambda t: t.contains(v) | v.contains(t)
+
+        def anywhere(texts: Column) -> Column:
+            def first(test, name: str, rest: Column) -> Column:
+                found = F.get(F.filter(regions, lambda r, i: test(F.get(texts, i))), F.lit(0))["confidence"]
+                return let(found, lambda c: F.when(c.isNotNull(), made(c, name)).otherwise(rest))
+
+            return first(lambda t: t == s, "global_exact_source", first(lambda t: t == v, "global_exact_value", first(part, "global_partial_match", neither)))
+
+        return (
+            F.when(at == s, made(here["confidence"], "indexed_exact_source"))
+            .when(at == v, made(here["confidence"], "indexed_exact_value"))
+            .when(part(at), made(here["confidence"], "indexed_partial_match"))
+            .when(s.isNull() & v.isNull(), neither)
+            .otherwise(let(F.transform(regions, lambda r: norm(r["cleaned_text"])), anywhere))
+        )
+
+    texts = F.transform(F.array(source, value.cast("string"), here["cleaned_text"]), norm)
+    return F.when(here["cleaned_text"] == source, made(here["confidence"], "indexed_exact_source")).otherwise(let(texts, compared))
 
 
 def score(df: DataFrame, config: Confidence = Confidence()) -> DataFrame:
@@ -135,8 +146,8 @@ def score(df: DataFrame, config: Confidence = Confidence()) -> DataFrame:
     def item(x: Column) -> Column:
         region = best_region(regions, x["name"], x["source_text"], x["region_index"])
         context = 0.7 * F.when(x["extraction_method"].isin("quantity_price_regex", "name_price_regex"), 0.85).otherwise(0.55) + 0.3 * F.col("__count.score")
-        c = combine(region["confidence"], x["confidence"], item_pattern(x["name"], x["price"]), context, F.lit(False), None, config)
-        return F.struct(x["name"].alias("name"), x["price"].alias("price"), c.alias("confidence"), V.tier(c, config.medium, config.low).alias("reliability"), review(c, F.lit(False), config).alias("review_required"), x["source_text"].alias("source_text"), x["region_index"].alias("region_index"))
+        score = combine(region["confidence"], x["confidence"], item_pattern(x["name"], x["price"]), context, F.lit(False), None, config)
+        return let(score, lambda c: F.struct(x["name"].alias("name"), x["price"].alias("price"), c.alias("confidence"), V.tier(c, config.medium, config.low).alias("reliability"), review(c, F.lit(False), config).alias("review_required"), x["source_text"].alias("source_text"), x["region_index"].alias("region_index")))
 
     df = df.withColumn("fields", F.struct(*made)).withColumn("items", F.transform("items", item))
     conflicts = V.codes((F.col("__count.conflict"), "item_count_mismatch"), (mismatch, "item_sum_total_mismatch"))

@@ -134,7 +134,6 @@ def canonical_documents(spark, sf_dir):
     """Printed receipts through extraction, scoring and canonical JSON; unit tests hold the parts, this query the whole plan."""
     from tallyforge.plans.inference import from_lines
 
-    rows = receipts(spark, sf_dir).withColumn("receipt_id", F.col("receipt_id").cast("string"))
-    docs = from_lines(rows.withColumn("source_file", F.concat("receipt_id", F.lit(".json"))))
+    docs = from_lines(receipts(spark, sf_dir).withColumn("source_file", F.concat("receipt_id", F.lit(".json"))))
     return docs.select("receipt_id", "store_name", "date", F.col("total_amount").cast("double").alias("total_amount"), F.size("items").alias("item_count"), "overall_confidence", "reliability", "review_required",
                        F.array_join("conflicts", ";").alias("conflicts"), F.col("_validation.status").alias("status"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.config import Confidence, Extraction
 from tallyforge.operators import canonical, extraction, regions, scoring
+from tallyforge.operators.dedup import keep_first
 from tallyforge.sources.files import IMAGES, UPLOAD_LIMIT
 
 
@@ -34,10 +35,15 @@ def from_regions(df: DataFrame, extraction_config: Extraction = Extraction(), co
 
 
 def from_lines(df: DataFrame, extraction_config: Extraction = Extraction(), confidence_config: Confidence = Confidence()) -> DataFrame:
-    """``receipt_id, source_file, lines`` to canonical documents; every line counts as a region of confidence 1."""
-    found = extraction.extract(df, "lines", extraction_config)
+    """``receipt_id, source_file, lines`` to canonical documents; every line counts as a region of confidence 1.
+
+    The first of each id is kept before the lines are read, while rows are small, and on the key as it
+    comes, so that a table dealt by it is not dealt again.
+    """
+    first = keep_first(df.select("receipt_id", "source_file", "lines"), "receipt_id", "source_file")
+    found = extraction.extract(first.withColumn("receipt_id", F.col("receipt_id").cast("string")), "lines", extraction_config)
     found = found.withColumn("regions", F.transform("lines", lambda t: F.struct(t.alias("cleaned_text"), F.lit(1.0).alias("confidence"))))
-    return canonical.documents(scoring.score(found, confidence_config))
+    return canonical.documents(scoring.score(found, confidence_config), single=True)
 
 
 def predict_one(spark: SparkSession, receipt_id: str, recognised: list[dict]) -> dict:

@@ -210,3 +210,14 @@ def test_config():
         config.Confidence(ocr_weight=0.9)
     with pytest.raises(ValueError):
         config.Evaluation(date_order="XYZ")
+
+
+@pytest.mark.parametrize("value, want", [("29/02/2024", "2024-02-29"), ("29/02/2023", None), ("29-2-1900", None), ("29.2.2000", "2000-02-29"), ("31/04/2024", None), ("00/01/2024", None), ("1/13/24", None), ("1/1/24", "2024-01-01"), ("1/1/123", None), ("31/02/2024 2024-3-5", "2024-03-05"), ("none", None)])
+def test_first_date(spark, value, want):
+    assert one(spark, value, V.first_date) == want
+
+
+def test_vetoes_hold_over_runs_of_blanks(spark):
+    r = extracted(spark, ["12 34 Corner Shop", "STORE", "THANK  YOU 3.50", "PAY   FROM 4.00", "THE ITEM @ 2.00", "BAG # 12 1.00", "TEA 50 % 2.00", "OAK STREET 1.00", "MILK 2.00", "AMT 7.25"])
+    assert [x["name"] for x in r["items"]] == ["MILK", "AMT"] and r["vendor_name"] is not None
+    assert (r["total_amount"], r["total_candidate"]["region_index"]) == (7.25, 9)

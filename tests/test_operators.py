@@ -237,3 +237,13 @@ def test_upload_accepted(name):
 def test_upload_rejected(name, body):
     with pytest.raises(ValueError):
         inference.check_upload(name, body)
+
+
+def test_documents_from_lines(spark):
+    from tallyforge.plans.inference import from_lines
+
+    rows = [("a", "2.json", ["Later Shop", "TOTAL 2.00"]), ("a", "1.json", ["Corner Shop", "DATE 05/01/2024", "TEA 3.50", "TOTAL", "3.50"]), (None, None, ["Other Shop", "TOTAL 1.00"])]
+    got = {r["receipt_id"]: r for r in from_lines(spark.createDataFrame(rows, "receipt_id string, source_file string, lines array<string>")).collect()}
+    assert len(got) == 2 and got["a"]["store_name"] == "Corner Shop" and got["a"]["metadata"]["item_sum"] == 3.5
+    assert got["a"]["fields"]["total_amount"]["evidence"] == "global_partial_match"
+    assert got[None]["store_name"] == "Other Shop" and got[None]["_validation"]["errors"] == ["receipt_id_missing"]

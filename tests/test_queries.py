@@ -72,3 +72,10 @@ def test_metamorphic(spark, sf_dir):
     spend = QUERIES["spend_per_store"](spark, sf_dir).groupBy().sum("spend").first()[0]
     assert spend == pytest.approx(QUERIES["financial_summary_totals"](spark, sf_dir).first()["total_spend"])
     assert QUERIES["reconcile_spend"](spark, sf_dir).first()["reconciled"]
+
+
+def test_canonical_documents_keep_small_rows(spark, sf_dir):
+    text = plan(QUERIES["canonical_documents"](spark, sf_dir))
+    kept = [x for x in text.splitlines() if "min_by(" in x]
+    assert kept and not any(w in x for x in kept for w in ("candidate", "regions", "fields"))
+    assert len(text) < 300_000
